@@ -1,0 +1,15 @@
+"""Queries on implausible readings."""
+
+from __future__ import annotations
+
+from ..catalog import table
+from ..operators import spikes
+
+
+def p1_found(spark, sf_dir):
+    """Distinct implausible readings of features, joints77_pos and root_traj."""
+    return spikes.find(table(spark, sf_dir, "umr_release"), table(spark, sf_dir, "feature_fields"))
+
+
+QUERIES = {"p1_found": p1_found}
+SQL: dict[str, str] = {}
