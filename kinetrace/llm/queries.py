@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from ..catalog import table
-from . import encoding, packing, tokens
+from ..shared import materialize
+from . import encoding, packing, splits, tokens
+
+
+def p4_found(spark, sf_dir):
+    """Pairs of a training row and an evaluation row with the same or nearly the same content."""
+    return splits.pairs_of_rows(splits.overlaps(table(spark, sf_dir, "umr_release"), materialize))
+
+
+def p4_report(spark, sf_dir):
+    """Overlaps per evaluation split and source."""
+    umr = table(spark, sf_dir, "umr_release")
+    return splits.report(splits.overlaps(umr, materialize), umr)
 
 
 def p5_ids(spark, sf_dir):
@@ -31,5 +43,5 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+QUERIES = {q.__name__: q for q in (p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
 SQL: dict[str, str] = {}
