@@ -2,9 +2,55 @@
 
 from __future__ import annotations
 
-from ..catalog import table
+from pyspark.sql import functions as F
+
+from ..catalog import RECORD_WIDTH, table
 from ..shared import materialize
-from . import encoding, packing, splits, tokens
+from . import encoding, packing, pieces, quantiles, splits, tokens
+
+
+#: Array columns whose percentiles are asked for: table, column, width.
+WIDE = (("umr_release", "features", RECORD_WIDTH), ("norm_stats", "packed_clip_p01", RECORD_WIDTH), ("norm_stats", "packed_clip_p99", RECORD_WIDTH), ("feature_fields", "root_traj", 9))
+
+
+def _digests(spark, sf_dir, by, fields):
+    """Digests of several fields in one table, the field a key."""
+    out = None
+    for name, column, width in fields:
+        df = table(spark, sf_dir, name).withColumn("field", F.lit(column))
+        one = quantiles.digests(df, column, width, ["field", *by])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p2_percentiles(spark, sf_dir):
+    """Percentiles of every source and dimension of all fields."""
+    by = ["field", "source"]
+    return quantiles.read(quantiles.merged(_digests(spark, sf_dir, ["source"], WIDE), by), by)
+
+
+def p2_days(spark, sf_dir):
+    """Percentiles of the normalisation statistics of every source and day."""
+    by = ["field", "source", "stat_day"]
+    return quantiles.read(quantiles.merged(_digests(spark, sf_dir, ["source", "stat_day"], WIDE[1:3]), by), by)
+
+
+def p2_from_days(spark, sf_dir):
+    """Percentiles per source, combined from the digests of single days."""
+    by = ["field", "source"]
+    days = quantiles.merged(_digests(spark, sf_dir, ["source", "stat_day"], WIDE[1:3]), [*by, "stat_day"])
+    return quantiles.read(quantiles.merged(days.drop("stat_day"), by), by)
+
+
+def p3_pieces(spark, sf_dir):
+    """Pieces of at most 300 records, 30 of them shared, of every longer clip."""
+    names = ("umr_release", "clip_plans", "event_tracks", "recordings", "capture_sources")
+    return pieces.pieces(*(table(spark, sf_dir, n) for n in names))
+
+
+def p3_found(spark, sf_dir):
+    """Items longer than 300 records."""
+    return p3_pieces(spark, sf_dir).select("table_name", "item_id").distinct()
 
 
 def p4_found(spark, sf_dir):
@@ -43,5 +89,14 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p3_found, p3_pieces, p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+SQL = {
+    "p3_found": """
+with plans as (select clip_id, num_frames, row_number() over (partition by clip_id order by planned_at desc, num_frames desc) as k
+               from clip_plans where error is null and clip_id is not null)
+select distinct 'umr_release' as table_name, rec_id as item_id from umr_release
+where rec_id is not null and case when features is not null then len(features) // 499 else num_records end > 300
+union all
+select 'clip_plans', clip_id from plans where k = 1 and num_frames > 300
+"""
+}
