@@ -66,6 +66,6 @@ def excursions(y: np.ndarray) -> np.ndarray:
 
 
 def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the runs of equal neighbours; same[i]: i equals i-1."""
-    starts = np.flatnonzero(np.r_[True, ~same[1:]])
-    return starts, np.r_[starts[1:], len(same)]
+    """Starts and ends (exclusive) of the runs of equal neighbours; same[i]: reading i + 1 equals i."""
+    starts = np.flatnonzero(np.r_[True, ~same])
+    return starts, np.r_[starts[1:], len(same) + 1]
