@@ -28,16 +28,14 @@ FPS = 30.0  #: where no rate is known
 PIECES = "table_name string, item_id string, row_key long, piece int, start int, stop int, cut string"
 
 
-def depth_of(similarity: np.ndarray) -> np.ndarray:
-    """Depth of each point below the peaks on its two sides."""
-
-    def peak(s):
-        start = np.maximum.accumulate(np.where(np.r_[True, s[1:] > s[:-1]], np.arange(len(s)), 0))
-        return s[start]
-
+def depth_of(similarity: np.ndarray, reach: int) -> np.ndarray:
+    """Depth of each point below the highest ones within ``reach`` on its two sides."""
     if not len(similarity):
         return similarity
-    return peak(similarity) + peak(similarity[::-1])[::-1] - 2 * similarity
+    wide = np.pad(similarity, reach, mode="edge")
+    view = np.lib.stride_tricks.sliding_window_view(wide, reach + 1)
+    n = len(similarity)
+    return view[:n].max(axis=1) + view[reach : reach + n].max(axis=1) - 2 * similarity
 
 
 def motion_depth(x: np.ndarray) -> np.ndarray:
@@ -48,7 +46,7 @@ def motion_depth(x: np.ndarray) -> np.ndarray:
     gap = np.arange(len(x))
     before, after = run[gap] - run[np.maximum(gap - SIDE, 0)], run[np.minimum(gap + SIDE, len(x))] - run[gap]
     norm = np.sqrt((before**2).sum(axis=1) * (after**2).sum(axis=1))
-    return depth_of(np.where(norm > 0, (before * after).sum(axis=1) / np.maximum(norm, 1e-12), 1.0))
+    return depth_of(np.where(norm > 0, (before * after).sum(axis=1) / np.maximum(norm, 1e-12), 1.0), 2 * SIDE)
 
 
 def event_similarity(gaps: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -102,7 +100,7 @@ def pieces_of(n: int, starts, fps: float | None, events, depth, limit: int = LIM
     if len(real):
         parts = np.array_split(gaps, max(1, len(gaps) * len(real) // 2_000_000 + 1))
         similar = np.concatenate([event_similarity(g, real[:, 0], real[:, 1]) for g in parts])
-        deep = dict(zip(gaps.tolist(), depth_of(similar).tolist()))
+        deep = dict(zip(gaps.tolist(), depth_of(similar, 2 * SIDE // GRID).tolist()))
     else:
         deep = dict.fromkeys(gaps.tolist(), 0.0)
     return cut(n, {int(m): deep[int(m)] for m in marks}, {int(g): deep[int(g)] for g in grid}, limit, overlap)

@@ -110,7 +110,7 @@ class _Parts:
         self.k, self.c, self.size = [], [], 0
 
     def put(self, keys, counts):
-        self.k.append(keys)
+        self.k.append(keys)  # narrow integers where they fit: they are only widened to be added
         self.c.append(counts)
         self.size += len(keys)
         if self.size > _MOST:
@@ -118,7 +118,7 @@ class _Parts:
             self.k, self.c, self.size = [k], [c], 0
 
     def get(self):
-        return compress(*add(np.concatenate(self.k), np.concatenate(self.c)))
+        return compress(*add(np.concatenate(self.k).astype(np.int64), np.concatenate(self.c).astype(np.int64)))
 
 
 def _rows(by: list[str], kinds: list[pa.DataType], found, extra: list[tuple]) -> pa.RecordBatch:
@@ -149,6 +149,7 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
         from pyspark import TaskContext
 
         state: dict[tuple, _Parts] = {}
+        small = np.int32 if (width << _NODE) < 1 << 31 else np.int64
         kinds, held, pid = [], 0, TaskContext.get().partitionId()
 
         def flush():
@@ -169,9 +170,9 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
             for key, members in groups.items():
                 parts = state.setdefault(key, _Parts())
                 at = 0
-                while at < len(members):  # about a million values at a time
+                while at < len(members):  # about half a million values at a time
                     some, size = [], 0
-                    while at < len(members) and size < 1 << 20:
+                    while at < len(members) and size < 1 << 19:
                         some.append(v[off[members[at]] : off[members[at] + 1]])
                         size += len(some[-1])
                         at += 1
@@ -181,7 +182,7 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
                     node = (dim[finite] << _NODE) | (leaf(x[finite]) + (1 << LEVELS))
                     node.sort()
                     cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
-                    parts.put(node[cut[:-1]], np.diff(cut))
+                    parts.put(node[cut[:-1]].astype(small), np.diff(cut).astype(np.int32))
             held = sum(p.size for p in state.values())
             if held > 4 * _MOST:
                 yield from flush()
@@ -230,7 +231,7 @@ def read(digest: DataFrame, by: list[str], percents=PERCENTS) -> DataFrame:
         for batch in batches:
             for i, (block, n, c) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("block", "nodes", "counts")))):
                 dims, total, values = percentiles(np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(c, np.int64), percents)
-                key = batch.slice(i, 1).take(pa.array(np.zeros(len(dims), np.int32)))
+                key = batch.slice(i, 1).select(by).take(pa.array(np.zeros(len(dims), np.int32)))
                 columns = [*(key.column(k) for k in by), pa.array(dims + block * BLOCK, pa.int32()), pa.array(total), *(pa.array(v) for v in values.T)]
                 yield pa.RecordBatch.from_arrays(columns, [*by, "dim", "n", *names])
 
