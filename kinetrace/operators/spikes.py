@@ -66,7 +66,7 @@ def _features() -> Field:
 
 FEATURES = _features()
 JOINTS = Field("joints77_pos", JOINT_WIDTH, tuple(d % 3 for d in range(JOINT_WIDTH)), True, tuple(range(1, JOINT_WIDTH, 3)), (), 8)
-ROOT_TRAJ = Field("root_traj", 9, tuple(range(9)), False, (4,), (), 12)
+ROOT_TRAJ = Field("root_traj", 9, tuple(range(9)), False, (4,), (), 16)
 
 
 def _counts(keys: np.ndarray) -> tuple[list[int], list[int]]:
