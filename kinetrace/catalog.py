@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 LAYOUT = (("root_traj", 9), ("root_rot6d", 6), ("joints76_rot6d", 456), ("sparse_vel", 24), ("foot_contact", 4))
 RECORD_WIDTH = sum(w for _, w in LAYOUT)
 JOINTS, JOINT_WIDTH = 77, 231
+# The 22 body joints of the evaluation subset among the 77, pelvis first.
+BODY22 = (0, 67, 72, 1, 68, 73, 2, 69, 74, 3, 70, 75, 4, 11, 39, 6, 12, 40, 13, 41, 14, 42)
 
 
 def slices() -> dict[str, tuple[int, int]]:

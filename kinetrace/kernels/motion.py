@@ -20,7 +20,7 @@ FACING = (72, 67, 40, 12)
 # Feet whose contact is derived (left foot, left toe base, right foot, right toe base).
 FEET = (69, 70, 74, 75)
 # Joints whose velocity is kept.
-KEYS = (69, 74, 14, 42, 6, 3, 67, 72)
+KEYS = (3, 6, 14, 42, 69, 70, 74, 75)
 CONTACT = 0.002  #: squared displacement, in square metres a frame, below which a foot is down
 HORIZONS = (0.2, 0.4)  #: seconds
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import RECORD_WIDTH, table
+from ..catalog import BODY22, RECORD_WIDTH, table
 from ..functions import rotation as R
 from ..functions.vectors import at, finite, part, rounded
 from ..operators import losses, matching, metrics, stats, temporal
@@ -409,7 +409,7 @@ def pose_metrics(spark, sf_dir):
             for k, x in zip(batch.column("row_id").to_pylist(), batch.column("joints77_pos")):
                 g = x.values.to_numpy(zero_copy_only=False).reshape(-1, 77, 3).astype(np.float64)
                 g = np.where(np.isfinite(g), g, 0.0)
-                rows.append({"row_id": k} | {n: (round(v, 3) if np.isfinite(v) else None) if n != "n_frames" else v for n, v in joint_metrics(np.round(g * 20) / 20, g).items()})
+                rows.append({"row_id": k} | {n: (round(v, 3) if np.isfinite(v) else None) if n != "n_frames" else v for n, v in joint_metrics(np.round(g[:, BODY22] * 20) / 20, g[:, BODY22]).items()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row_id", pa.int64()), *((n, pa.float64()) for n in names), ("n_frames", pa.int32())]))
 
