@@ -166,30 +166,31 @@ def scan_clips(clips: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
 
 
 def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
-    """Scan readings kept one per row: one shuffle by recording and stretch of readings.
+    """Scan readings kept one per row.
 
-    A stretch has ``CHUNK`` readings and sees ``HALO`` more on either side, so that a
-    long recording is no long task and no run or excursion is lost at a border.
+    Deliveries of one reading are combined first, before the shuffle where they meet; of
+    several, the earliest counts.  A task then has a stretch of ``CHUNK`` readings of a
+    recording and sees ``HALO`` more on either side, so that neither a long recording nor
+    many copies make a long task, and no run or excursion is lost at a border.
     """
+    dims = [f"_v{d}" for d in range(field.width)]
 
     def work(table: pa.Table) -> pa.Table:
         t = table.column("t").to_numpy()
-        order = np.lexsort((table.column("_at").to_numpy(), t))
-        keep = order[np.r_[True, t[order][1:] != t[order][:-1]]]
-        x = np.full((len(keep), field.width), np.nan)
-        arrays = _rows(table.column(field.name), field.width)
-        for i, k in enumerate(keep):
-            if arrays[k] is not None and len(arrays[k]) == 1:
-                x[i] = arrays[k][0]
-        t, chunk = t[keep].astype(np.int32), table.column("_chunk")[0].as_py()
+        order = np.argsort(t)
+        x = np.stack([table.column(d).to_numpy() for d in dims], axis=1)[order]
+        t, chunk = t[order].astype(np.int32), table.column("_chunk")[0].as_py()
         found = scan(field, x, t, t // CHUNK == chunk)
         one = _out([found | {"field": field.name, "rec_id": table.column("rec_id")[0].as_py(), "source": table.column("source")[0].as_py()}])
         return pa.Table.from_batches([one])
 
     c, m = f"t div {CHUNK}", f"t % {CHUNK}"
     spread = F.expr(f"explode(filter(array({c}, if({m} < {HALO}, {c} - 1, -1L), if({m} >= {CHUNK - HALO}, {c} + 1, -1L)), k -> k >= 0)) as _chunk")
-    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", field.name, F.expr("coalesce(unix_micros(cast(ingested_at as timestamp)), 0L) as _at"))
-    return rows.select("*", spread).groupBy("rec_id", "_chunk").applyInArrow(work, SCHEMA)
+    fits = F.size(field.name) == field.width
+    values = [F.when(fits, F.get(field.name, F.lit(d))).cast("float").alias(name) for d, name in enumerate(dims)]
+    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", F.expr("coalesce(unix_micros(cast(ingested_at as timestamp)), 0L) as _at"), *values)
+    once = rows.groupBy("rec_id", "source", "t").agg(*(F.min_by(d, "_at").alias(d) for d in dims))
+    return once.select("*", spread).groupBy("rec_id", "source", "_chunk").applyInArrow(work, SCHEMA)
 
 
 def usual_change(scanned: DataFrame) -> DataFrame:
