@@ -104,34 +104,56 @@ def percentiles(keys: np.ndarray, counts: np.ndarray, percents=PERCENTS) -> tupl
 
 
 class _Parts:
-    """Nodes of one key, gathered from many parts."""
+    """Nodes gathered from many parts, of many keys: a key's dimensions follow the one's before."""
 
     def __init__(self):
-        self.k, self.c, self.size = [], [], 0
+        self.k, self.c, self.size, self.most = [], [], 0, _MOST
 
     def put(self, keys, counts):
-        self.k.append(keys)  # narrow integers where they fit: they are only widened to be added
+        self.k.append(keys)
         self.c.append(counts)
         self.size += len(keys)
-        if self.size > _MOST:
-            k, c = self.get()
-            self.k, self.c, self.size = [k], [c], 0
+        if self.size > self.most:
+            keys, counts = self.get()
+            self.__init__()
+            self.k, self.c, self.size, self.most = [keys], [counts], len(keys), len(keys) + _MOST
 
     def get(self):
-        return compress(*add(np.concatenate(self.k).astype(np.int64), np.concatenate(self.c).astype(np.int64)))
+        if not self.k:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return compress(*add(np.concatenate(self.k), np.concatenate(self.c)))
 
 
-def _rows(by: list[str], kinds: list[pa.DataType], found, extra: list[tuple]) -> pa.RecordBatch:
-    fields = [*zip(by, kinds), ("block", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), *extra]
-    return pa.RecordBatch.from_pylist(found, schema=pa.schema(fields))
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    offsets = (cuts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _blocks(key: tuple, by: list[str], keys: np.ndarray, counts: np.ndarray):
+def _packed(keys: np.ndarray, counts: np.ndarray):
+    """(block numbers, nodes, counts) of sorted nodes, a row per block, some megabytes at a time."""
     block = (keys >> _NODE) // BLOCK
-    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        local = (keys[a:b] - ((int(block[a]) * BLOCK) << _NODE)).astype(np.uint32)
-        yield {**dict(zip(by, key)), "block": int(block[a]), "nodes": local.tobytes(), "counts": counts[a:b].astype(np.int64).tobytes()}
+    local = (keys - ((block * BLOCK) << _NODE)).astype(np.uint32)
+    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + (1 << 20), "right")) - 1)
+        a, b = cuts[at], cuts[to]
+        yield block[cuts[at:to]], _binary(local[a:b], cuts[at : to + 1] - a), _binary(counts[a:b].astype(np.int64), cuts[at : to + 1] - a)
+        at = to
+
+
+def _nodes(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of a digest batch, the rows' dimensions numbered by their group."""
+
+    def flat(name, kind):
+        column = batch.column(name)
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(column.buffers()[2], kind, (off[-1] - off[0]) // size, int(off[0])), np.diff(off) // size
+
+    nodes, n = flat("nodes", np.uint32)
+    counts, _ = flat("counts", np.int64)
+    return nodes.astype(np.int64) + np.repeat((group.astype(np.int64) * BLOCK) << _NODE, n), counts
 
 
 def _schema(df: DataFrame, by: list[str]) -> str:
@@ -144,48 +166,45 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
     A flat array of several records counts each record.  Arrays that are no whole records
     are left out.
     """
+    per = -(-width // BLOCK)
 
     def part(batches):
         from pyspark import TaskContext
 
-        state: dict[tuple, _Parts] = {}
-        small = np.int32 if (width << _NODE) < 1 << 31 else np.int64
-        kinds, held, pid = [], 0, TaskContext.get().partitionId()
+        index: dict[tuple, int] = {}
+        parts, kinds, pid = _Parts(), [], TaskContext.get().partitionId()
 
         def flush():
-            for key, parts in state.items():
-                rows = [r | {"part": pid} for r in _blocks(key, by, *parts.get())]
-                if rows:
-                    yield _rows(by, kinds, rows, [("part", pa.int32())])
-            state.clear()
+            names = list(index)
+            for block, nodes, counts in _packed(*parts.get()):
+                own = [names[k] for k in (block // per).tolist()]
+                head = [pa.array([k[i] for k in own], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(block % per, pa.int32()), nodes, counts, pa.array([pid] * len(own), pa.int32())], [*by, "block", "nodes", "counts", "part"])
+            index.clear()
+            parts.__init__()
 
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in by]
             data = batch.column(column)
             off, ok, v = data.offsets.to_numpy(), data.is_valid().to_numpy(zero_copy_only=False), data.values.to_numpy(zero_copy_only=False)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by))):
-                if ok[i] and off[i + 1] > off[i] and (off[i + 1] - off[i]) % width == 0:
-                    groups.setdefault(key, []).append(i)
-            for key, members in groups.items():
-                parts = state.setdefault(key, _Parts())
-                at = 0
-                while at < len(members):  # about half a million values at a time
-                    some, size = [], 0
-                    while at < len(members) and size < 1 << 19:
-                        some.append(v[off[members[at]] : off[members[at] + 1]])
-                        size += len(some[-1])
-                        at += 1
-                    x = np.concatenate(some).astype(np.float64)
-                    dim = np.tile(np.arange(width, dtype=np.int64), len(x) // width)
-                    finite = np.isfinite(x)
-                    node = (dim[finite] << _NODE) | (leaf(x[finite]) + (1 << LEVELS))
-                    node.sort()
-                    cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
-                    parts.put(node[cut[:-1]].astype(small), np.diff(cut).astype(np.int32))
-            held = sum(p.size for p in state.values())
-            if held > 4 * _MOST:
-                yield from flush()
+            n = np.diff(off)
+            rows = np.flatnonzero(ok & (n > 0) & (n % width == 0))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            at = 0
+            while at < len(rows):  # about half a million values at a time
+                to = at + max(1, int(np.searchsorted(np.cumsum(n[rows[at:]]), 1 << 19)))
+                some = rows[at:to]
+                own = np.array([index.setdefault(keys[i], len(index)) for i in some.tolist()], np.int64)
+                x = np.concatenate([v[off[i] : off[i + 1]] for i in some.tolist()]).astype(np.float64)
+                dim = np.repeat(own * (per * BLOCK), n[some]) + np.tile(np.arange(width, dtype=np.int64), len(x) // width)
+                finite = np.isfinite(x)
+                node = (dim[finite] << _NODE) | (leaf(x[finite]) + (1 << LEVELS))
+                node.sort()
+                cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
+                parts.put(node[cut[:-1]], np.diff(cut).astype(np.int32))
+                at = to
+                if parts.size > 4 * _MOST:
+                    yield from flush()
         yield from flush()
 
     raw = df.select(*by, column).mapInArrow(part, _schema(df, by) + ", part int")
@@ -193,31 +212,44 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
 
 
 def merged(digest: DataFrame, by: list[str], salt=None) -> DataFrame:
-    """Digests of equal keys added into one."""
+    """Digests of equal keys added into one: keys in order, many small ones at a time, a
+    large one batch by batch."""
     keys = [*by, "block"]
     if salt is not None:
         digest = digest.withColumn("_salt", salt.cast("int"))
         keys.append("_salt")
 
     def combine(batches):
-        kinds, last, parts = [], None, _Parts()
+        parts, held = _Parts(), []  # held: the keys gathered, in order
 
-        def done():
-            *key, block = last[: len(by) + 1]
+        def done(kinds, last_stays):
+            nonlocal parts, held
             k, c = parts.get()
-            return _rows(by, kinds, list(_blocks(tuple(key), by, k + ((block * BLOCK) << _NODE), c)), [])
-
+            rest, keep = (k[:0], c[:0]), []
+            if last_stays:
+                cut = int(np.searchsorted(k, ((len(held) - 1) * BLOCK) << _NODE))
+                rest, keep = (k[cut:] - (((len(held) - 1) * BLOCK) << _NODE), c[cut:]), held[-1:]
+                k, c = k[:cut], c[:cut]
+            for group, nodes, counts in _packed(k, c):
+                own = [held[g] for g in group.tolist()]
+                head = [pa.array([o[i] for o in own], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([o[len(by)] for o in own], pa.int32()), nodes, counts], [*by, "block", "nodes", "counts"])
+            parts, held = _Parts(), keep
+            parts.put(*rest)
+
+        kinds = []
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in by]
-            nodes, counts = batch.column("nodes").to_pylist(), batch.column("counts").to_pylist()
-            for key, n, c in zip(zip(*(batch.column(k).to_pylist() for k in keys)), nodes, counts):
-                if key != last:
-                    if last is not None:
-                        yield done()
-                    last, parts = key, _Parts()
-                parts.put(np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(c, np.int64))
-        if last is not None:
-            yield done()
+            group = np.empty(len(batch), np.int64)
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+                if not held or key != held[-1]:
+                    held.append(key)
+                group[i] = len(held) - 1
+            parts.put(*_nodes(batch, group))
+            if len(held) > 1 and parts.size > _MOST // 4:
+                yield from done(kinds, True)
+        if held:
+            yield from done(kinds, False)
 
     schema = _schema(digest, by)
     return digest.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "nodes", "counts").mapInArrow(combine, schema)
@@ -229,11 +261,13 @@ def read(digest: DataFrame, by: list[str], percents=PERCENTS) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for i, (block, n, c) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("block", "nodes", "counts")))):
-                dims, total, values = percentiles(np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(c, np.int64), percents)
-                key = batch.slice(i, 1).select(by).take(pa.array(np.zeros(len(dims), np.int32)))
-                columns = [*(key.column(k) for k in by), pa.array(dims + block * BLOCK, pa.int32()), pa.array(total), *(pa.array(v) for v in values.T)]
-                yield pa.RecordBatch.from_arrays(columns, [*by, "dim", "n", *names])
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                dims, n, values = percentiles(*_nodes(some, np.arange(len(some))), percents)
+                row = dims // BLOCK
+                head = some.select(by).take(pa.array(row))
+                block = some.column("block").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(block * BLOCK + dims % BLOCK, pa.int32()), pa.array(n), *(pa.array(v) for v in values.T)], [*by, "dim", "n", *names])
 
     head = _schema(digest, by).split("block int")[0]
     return digest.select(*by, "block", "nodes", "counts").mapInArrow(work, f"{head}dim int, n long, " + ", ".join(f"{p} double" for p in names))
