@@ -29,13 +29,13 @@ FAN = 16
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 _DROP = 32 - LEVELS
 _NODE = LEVELS + 1  #: bits of a node number: the root is 1, leaves start at 2^LEVELS
-_MOST = 1 << 22  #: nodes gathered before they are added up
+_MOST = 1 << 20  #: nodes gathered before they are added up
 
 
 def leaf(x: np.ndarray) -> np.ndarray:
     """Leaf of each finite value, in the order of the values."""
     with np.errstate(over="ignore"):
-        f = np.clip(x.astype(np.float64), -3.4e38, 3.4e38).astype(np.float32) + np.float32(0)  # no -0
+        f = np.clip(x.astype(np.float64), -3.4028e38, 3.4028e38).astype(np.float32) + np.float32(0)  # no -0
     u = f.view(np.uint32).astype(np.int64)
     size = np.minimum(((u & 0x7FFFFFFF) + (1 << (_DROP - 1))) >> _DROP, (0x7F7FFFFF) >> _DROP)
     half = 1 << (LEVELS - 1)
@@ -142,6 +142,17 @@ def _packed(keys: np.ndarray, counts: np.ndarray):
         at = to
 
 
+def _portions(batch: pa.RecordBatch):
+    """Slices of a digest batch of about half of ``_MOST`` nodes."""
+    column = batch.column("nodes")
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + 4 * (_MOST // 2), "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _nodes(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All nodes of a digest batch, the rows' dimensions numbered by their group."""
 
@@ -203,7 +214,7 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
                 cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
                 parts.put(node[cut[:-1]], np.diff(cut).astype(np.int32))
                 at = to
-                if parts.size > 4 * _MOST:
+                if parts.size > 2 * _MOST:
                     yield from flush()
         yield from flush()
 
@@ -238,7 +249,7 @@ def merged(digest: DataFrame, by: list[str], salt=None) -> DataFrame:
             parts.put(*rest)
 
         kinds = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole)):
             kinds = [batch.schema.field(c).type for c in by]
             group = np.empty(len(batch), np.int64)
             for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
@@ -261,8 +272,7 @@ def read(digest: DataFrame, by: list[str], percents=PERCENTS) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
+            for some in _portions(batch):
                 dims, n, values = percentiles(*_nodes(some, np.arange(len(some))), percents)
                 row = dims // BLOCK
                 head = some.select(by).take(pa.array(row))
