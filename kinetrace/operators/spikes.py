@@ -168,8 +168,8 @@ def scan_clips(clips: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
 def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
     """Scan readings kept one per row.
 
-    Deliveries of one reading are combined first, before the shuffle where they meet; of
-    several, the earliest counts.  A task then has a stretch of ``CHUNK`` readings of a
+    Deliveries of one reading are combined first, before the shuffle where they meet; where
+    they differ, the largest present value of each dimension counts.  A task then has a stretch of ``CHUNK`` readings of a
     recording and sees ``HALO`` more on either side, so that neither a long recording nor
     many copies make a long task, and no run or excursion is lost at a border.
     """
@@ -187,9 +187,10 @@ def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
     c, m = f"t div {CHUNK}", f"t % {CHUNK}"
     spread = F.expr(f"explode(filter(array({c}, if({m} < {HALO}, {c} - 1, -1L), if({m} >= {CHUNK - HALO}, {c} + 1, -1L)), k -> k >= 0)) as _chunk")
     fits = F.size(field.name) == field.width
-    values = [F.when(fits, F.get(field.name, F.lit(d))).cast("float").alias(name) for d, name in enumerate(dims)]
-    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", F.expr("coalesce(unix_micros(cast(ingested_at as timestamp)), 0L) as _at"), *values)
-    once = rows.groupBy("rec_id", "source", "t").agg(*(F.min_by(d, "_at").alias(d) for d in dims))
+    each = [F.get(field.name, F.lit(d)).cast("float") for d in range(field.width)]
+    values = [F.when(fits & ~F.isnan(v), v).alias(name) for v, name in zip(each, dims)]
+    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", *values)
+    once = rows.groupBy("rec_id", "source", "t").agg(*(F.max(d).alias(d) for d in dims))
     return once.select("*", spread).groupBy("rec_id", "source", "_chunk").applyInArrow(work, SCHEMA)
 
 
