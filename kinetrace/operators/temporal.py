@@ -66,9 +66,11 @@ def running_sums(df: DataFrame, entity: str, position: str, values: list[str], s
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the least ``order``: second deliveries dropped."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    """One row per key, the one with the least ``order``, which must be unique in a key:
+    second deliveries dropped.  With plain numbers beside the keys this is a hash
+    aggregate, combined before the shuffle; so select first what is needed."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(*(F.min_by(c, order).alias(c) for c in rest))
 
 
 def path_length(df: DataFrame, entity: str, x: str, z: str) -> DataFrame:

@@ -30,9 +30,10 @@ def r6(x: str) -> str:
     return f"case when isfinite({x}) then round({x} + 1e-9, 6) end"
 
 
-def readings(spark, sf_dir):
+def readings(spark, sf_dir, *columns: str):
+    """The first delivery of each reading, with the columns asked for."""
     rows = table(spark, sf_dir, "feature_fields").where("rec_id is not null and t is not null")
-    return temporal.latest(rows.drop("recorded_at", "ingested_at"), ["rec_id", "t"], "row_id")
+    return temporal.latest(rows.select("rec_id", "source", "t", "row_id", *columns), ["rec_id", "source", "t"], "row_id")
 
 
 NAMES = ("lx", "lz", "wx", "wz", "y")
@@ -40,9 +41,10 @@ NAMES = ("lx", "lz", "wx", "wz", "y")
 
 def values(spark, sf_dir):
     """Finite values of the trajectory, one row per reading."""
-    rows = readings(spark, sf_dir)
+    rows = table(spark, sf_dir, "feature_fields").where("rec_id is not null and t is not null")
     each = {n: at(F.col("root_traj"), i) for i, n in enumerate(NAMES)}
-    return rows.select("rec_id", "source", "t", *(F.when(finite(x), x).alias(n) for n, x in each.items()))
+    rows = rows.select("rec_id", "source", "t", "row_id", *(F.when(finite(x), x).alias(n) for n, x in each.items()))
+    return temporal.latest(rows, ["rec_id", "source", "t"], "row_id")
 
 
 READINGS = "readings as (select * from (select *, row_number() over (partition by rec_id, t order by row_id) as k from feature_fields where rec_id is not null and t is not null) where k = 1)"
@@ -70,7 +72,7 @@ c as (select rec_id, dim, quantile_cont(x, 0.01) as a, quantile_cont(x, 0.99) as
 select cast(dim as int) as dim, {r6("avg(a)")} as p01, {r6("avg(b)")} as p99 from c group by dim""")
 def clip_quantile_mean(spark, sf_dir):
     """Mean over clips of each clip's 1st and 99th percentile."""
-    x = stats.exploded(readings(spark, sf_dir), ["rec_id"], "root_traj").where(finite(F.col("x")))
+    x = stats.exploded(readings(spark, sf_dir, "root_traj"), ["rec_id"], "root_traj").where(finite(F.col("x")))
     q = stats.mean_of_quantiles(x, ["rec_id"], ["dim"], {"p01": 0.01, "p99": 0.99})
     return q.select("dim", rounded(F.col("p01")).alias("p01"), rounded(F.col("p99")).alias("p99"))
 
@@ -90,7 +92,7 @@ select source, {r6("sum(cast(x as double)) filter (i <= 9)")} as root_traj, {r6(
 from p where isfinite(x) and abs(x) < 1000 group by source""")
 def field_slices(spark, sf_dir):
     """Fields packed into one vector and cut out again by their slices."""
-    rows = readings(spark, sf_dir).where("size(root_traj) = 9 and size(root_rot6d) = 6 and size(foot_contact) = 4")
+    rows = readings(spark, sf_dir, "root_traj", "root_rot6d", "foot_contact").where("size(root_traj) = 9 and size(root_rot6d) = 6 and size(foot_contact) = 4")
     packed = rows.select("source", F.concat("root_traj", "root_rot6d", "foot_contact").alias("v"))
 
     def total(start, width):
@@ -227,7 +229,7 @@ def interval_first_match(spark, sf_dir):
 select source, cast(dim as int) as dim, count(*) as n, {r6("avg(case when isfinite(x) then 0.0 else 1.0 end)")} as share from e group by source, dim""")
 def nonfinite_fraction(spark, sf_dir):
     """Share of NaN and infinite values per source and dimension."""
-    x = stats.exploded(readings(spark, sf_dir), ["source"], "root_traj").where("x is not null")
+    x = stats.exploded(readings(spark, sf_dir, "root_traj"), ["source"], "root_traj").where("x is not null")
     return x.groupBy("source", "dim").agg(F.count("*").alias("n"), rounded(metrics.nonfinite_share(F.col("x"))).alias("share"))
 
 
@@ -240,7 +242,7 @@ mats as (select *, a2*b3-a3*b2 as c1, a3*b1-a1*b3 as c2, a1*b2-a2*b1 as c3 from
 
 
 def matrices(spark, sf_dir):
-    r = readings(spark, sf_dir).where("size(root_rot6d) = 6").where(F.forall("root_rot6d", lambda v: finite(v)))
+    r = readings(spark, sf_dir, "root_traj", "root_rot6d").where("size(root_rot6d) = 6").where(F.forall("root_rot6d", lambda v: finite(v)))
     return r.select("rec_id", "t", "root_traj", R.matrix_of_rot6d(F.col("root_rot6d")).alias("m"))
 
 
@@ -278,7 +280,7 @@ steps as (select rec_id, t, y, 0.5 * (cos(h) * lx + sin(h) * lz) + 0.5 * wx as d
 def step_rows(spark, sf_dir):
     from ..streaming.integrate import steps
 
-    r = readings(spark, sf_dir).where("size(root_rot6d) = 6").where(F.forall("root_rot6d", lambda v: finite(v)))
+    r = readings(spark, sf_dir, "root_traj", "root_rot6d").where("size(root_rot6d) = 6").where(F.forall("root_rot6d", lambda v: finite(v)))
     traj = F.col("root_traj")
     for i in range(4):
         r = r.where(F.abs(at(traj, i)) < 1000).where(~F.isnan(at(traj, i)))
@@ -351,7 +353,7 @@ k as (select source, count(*) filter (p > 0 and y > 0.5) as tp, count(*) filter
 select source, tp, fp, fn, {r6("case when tp + fp + fn = 0 then 1.0 when tp = 0 then 0.0 else 2.0 * tp / (2.0 * tp + fp + fn) end")} as f1 from k""")
 def binary_f1(spark, sf_dir):
     """F1 of one contact flag as a guess of another."""
-    c = readings(spark, sf_dir).select("source", (at(F.col("foot_contact"), 0) - 0.5).alias("p"), at(F.col("foot_contact"), 1).alias("y")).where(finite(F.col("p")) & finite(F.col("y")))
+    c = readings(spark, sf_dir, "foot_contact").select("source", (at(F.col("foot_contact"), 0) - 0.5).alias("p"), at(F.col("foot_contact"), 1).alias("y")).where(finite(F.col("p")) & finite(F.col("y")))
     p, y = F.col("p") > 0, F.col("y") > 0.5
     return c.groupBy("source").agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), rounded(metrics.f1(F.col("p"), F.col("y"))).alias("f1"))
 
@@ -364,7 +366,7 @@ select source, {r6("avg(case when abs(d) < 1 then 0.5 * d * d else abs(d) - 0.5
 def huber_bce_focal(spark, sf_dir):
     """Smooth L1, weighted cross-entropy and focal loss."""
     traj = F.col("root_traj")
-    c = readings(spark, sf_dir).select("source", at(traj, 4).alias("l"), at(F.col("foot_contact"), 0).alias("y"), at(traj, 2).alias("a"), at(traj, 0).alias("b"))
+    c = readings(spark, sf_dir, "root_traj", "foot_contact").select("source", at(traj, 4).alias("l"), at(F.col("foot_contact"), 0).alias("y"), at(traj, 2).alias("a"), at(traj, 0).alias("b"))
     for k in "lab":
         c = c.where(F.abs(k) < 50).where(~F.isnan(k))
     c = c.where(finite(F.col("y")))
