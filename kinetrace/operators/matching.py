@@ -87,6 +87,13 @@ def quantized(df: DataFrame, key: str, vector: str, books: list[tuple[list, np.n
     return df.select(key, vector).mapInArrow(work, f"`{key}` {kind}, layer int, code long, dist double")
 
 
+def split_quantized(df: DataFrame, key: str, vector: str, semantic: tuple[list, np.ndarray], residual: list[tuple[list, np.ndarray]]) -> DataFrame:
+    """(key, layer, code, dist) of two branches that both quantize the whole vector: layer 0
+    is the semantic one, the residual layers follow it."""
+    head = quantized(df, key, vector, [semantic])
+    return head.unionByName(quantized(df, key, vector, residual).withColumn("layer", F.col("layer") + 1))
+
+
 def dequantized(codes: DataFrame, key: str, book: DataFrame, prefix: int | None = None) -> DataFrame:
     """(key, dim, x): sums of the code vectors of the first ``prefix`` layers; null codes add zero.
 

@@ -71,3 +71,28 @@ def equivalence(one: DataFrame, other: DataFrame) -> DataFrame:
     j = one.alias("a").join(other.alias("b"), ["rec_id", "t"])
     d = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "yz"), (F.col("a.x") - F.col("b.x")) ** 2)
     return j.agg((F.sqrt(F.avg(d / 3)) * 1000).alias("trans_rmse_mm"), F.count("*").alias("frames"))
+
+
+def update_codebook(stream: DataFrame, key: str, vector: str, start: DataFrame, folder: str, momentum: float = 0.99):
+    """A stream writer that averages each batch of vectors into a codebook.
+
+    ``start`` has (code, vec); version k of the book, after batch k, is a Parquet folder of
+    its own under ``folder``, so a batch that runs again writes the same version again.  A
+    code without members in a batch keeps its vector and is marked dead.
+    """
+    from ..operators import codes, matching, stats
+
+    spark = stream.sparkSession
+    start.write.mode("overwrite").parquet(f"{folder}/v=-1")
+
+    def batch(df: DataFrame, number: int) -> None:
+        book = spark.read.parquet(f"{folder}/v={number - 1}").select("code", "vec")
+        width = len(book.head()["vec"])
+        good = df.where(F.col(vector).isNotNull())
+        assigned = matching.quantized(good, key, vector, [matching.codebook(book, "code", "vec", width)])
+        long = stats.exploded(book, ["code"], "vec").select("code", "dim", F.col("x").alias("c"))
+        new = codes.updated(assigned, stats.exploded(good, [key], vector), key, long, momentum)
+        rows = new.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("r"), F.max("size").alias("size"), F.bool_and("dead").alias("dead"))
+        rows.select("code", F.transform("r", lambda e: e["c"]).alias("vec"), "size", "dead").write.mode("overwrite").parquet(f"{folder}/v={number}")
+
+    return stream.select(key, vector).writeStream.foreachBatch(batch)

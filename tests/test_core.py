@@ -279,3 +279,36 @@ def test_batches_of_similar_length(spark):
     got = windows.length_batches(df, "pos", "n", 4, 5).collect()
     assert len(got) == 100 and len({(r.mega, r.batch_no, r.place) for r in got}) == 100
     assert windows.sampled(df, "pos", 10).count() == 10 and windows.sampled(df, "pos", 0).count() == 100
+
+
+def test_split_quantizer(spark):
+    sem, res = ([0, 1], np.array([[0.0, 0.0], [2.0, 2.0]])), ([0, 1], np.array([[1.0, 1.0], [0.5, 0.5]]))
+    df = spark.createDataFrame([(1, [1.6, 1.6])], "id int, v array<double>")
+    got = {r.layer: r.code for r in matching.split_quantized(df, "id", "v", sem, [res, res]).collect()}
+    assert got == {0: 1, 1: 0, 2: 1}
+
+
+def test_codebook_stream(spark, tmp_path):
+    from kinetrace.streaming import integrate as I
+
+    rows = [(k, [0.0, 1.0]) for k in range(10)] + [(10, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    start = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "code long, vec array<double>")
+    q = I.update_codebook(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "id", "v", start, str(tmp_path / "book"), 0.5).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination()
+    got = {r.code: r for r in spark.read.parquet(str(tmp_path / "book" / "v=0")).collect()}
+    assert got[0].vec == pytest.approx([0.0, 10 * 0.5 / 5.5]) and not got[0].dead and got[0].size == 5.5
+    assert got[1].vec == [9.0, 9.0] and got[1].dead
+
+
+def test_running_moments_stream(spark, tmp_path):
+    from kinetrace.streaming import integrate as I
+
+    x = np.random.default_rng(7).normal(size=90)
+    spark.createDataFrame([("a", float(v)) for v in x], "k string, x double").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = I.running_moments(stream, ["k"], "x").writeStream.outputMode("complete").format("memory").queryName("moments").trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.table("moments").collect()[0]
+    assert r.n == 90 and r["mean"] == pytest.approx(x.mean()) and r["std"] == pytest.approx(math.sqrt(x.var() + 1e-8))
