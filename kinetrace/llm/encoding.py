@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 # Encodings a text may have been read by, and may have been in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp852", "cp866", "iso8859-2")
-WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "shift_jis")
+WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "shift_jis", "euc_jp")
+MULTI = ("shift_jis", "euc_jp")  #: those of WRITTEN_IN, beside utf-8, with characters of several bytes
 
 ENTER, LEAVE = -7.0, -1.0  #: log weights of going from the clean state to another and back
 ENTER_SINGLE = -14.0  #: the same for pairs of one-byte encodings, which any character fits
@@ -36,6 +37,7 @@ STAY = -0.01
 BACKOFF = 0.05  #: weight of single characters beside pairs
 UNSEEN = 1e-7
 OWED = 0.5  #: a pair below this share of the characters it may be the bytes of is no evidence
+LEAST_KANA = 4  #: characters a word of garbled kana has at least
 LOST = "�"
 NEAR = 80  #: characters within which a quotation and its restored form stand
 
@@ -67,7 +69,7 @@ def _lowered(back: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return {c: tuple(sorted(bs)) for c, bs in low.items()}
 
 
-SINGLE = {c: _table(c) for c in {*READ_AS, *WRITTEN_IN} - {"utf-8", "shift_jis"}}
+SINGLE = {c: _table(c) for c in {*READ_AS, *WRITTEN_IN} - {"utf-8", *MULTI}}
 LOWERED = {c: _lowered(SINGLE[c][0]) for c in READ_AS if c != "latin-1"}
 #: characters the model tells apart; all others stand for their class
 KNOWN = {c for _, there in SINGLE.values() for c in there if ord(c) > 127} | {LOST}
@@ -97,8 +99,38 @@ def cls(c: str) -> str:
 SHARE = {"あ": math.log(80), "ア": math.log(80), "一": math.log(2500), "\u0301": math.log(20), "\U0001f642": math.log(500), "Ā": math.log(500), "က": math.log(500)}
 
 
+PART = re.compile(r"[^\x00-\x20]+")
+KANA = re.compile("[\u3000-\u30ff]")
+
+
+@lru_cache(1 << 16)
+def kana_bytes(word: str) -> bool:
+    """Is the word, wrongly read, Japanese text in one of MULTI?  The clean state must not
+    learn such words: kana have few leading bytes, so one text makes them look usual."""
+    for read in READ_AS:
+        back = SINGLE[read][0]
+        if all(c in back for c in word):
+            raw = bytes(back[c] for c in word)
+            for written in MULTI:
+                try:
+                    seen = raw.decode(written)
+                except UnicodeDecodeError:
+                    continue
+                n = sum(c > "\x7f" for c in seen)
+                if n >= LEAST_KANA and 2 * len(KANA.findall(seen)) >= n:
+                    return True
+    return False
+
+
+def without_kana_bytes(text: str) -> str:
+    for word in {w for w in PART.findall(text) if len(w) >= 2 * LEAST_KANA and not w.isascii()}:
+        if kana_bytes(word):
+            text = text.replace(word, " ")
+    return text
+
+
 def count_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): neighbouring characters of which one is not ASCII, over all texts."""
+    """(a, b, n): neighbouring characters of which one is not ASCII, over all texts but their ``kana_bytes``."""
 
     def work(batches):
         from collections import Counter
@@ -107,7 +139,7 @@ def count_pairs(docs: DataFrame, text: str) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for run in RUN.findall(x):
+                for run in RUN.findall(without_kana_bytes(x)):
                     total.update(zip(run, run[1:]))
             if len(total) > 200_000:
                 yield from _pairs(total, memo)
@@ -318,7 +350,7 @@ def inverses(word: str) -> list[tuple[str, str]]:
                 if written in SINGLE and written != read:
                     there = SINGLE[written][1]
                     add(f"{written}>{read}", "".join(there[b] if b > 127 else c for b, c in zip(raw, word)))
-                elif written == "shift_jis":
+                elif written in MULTI:
                     try:
                         add(f"{written}>{read}", raw.decode(written))
                     except UnicodeDecodeError:

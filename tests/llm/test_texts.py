@@ -169,3 +169,19 @@ def test_garbled_tables(spark):
     assert sorted(r.doc_id or -1 for r in got) == [-1, 1000, 1000, 1003]
     assert next(r for r in got if r.doc_id is None).restored == CLEAN[0] and next(r for r in got if r.doc_id == 1003).restored is None
     assert encoding.garbled(df.limit(0)).count() == 0
+
+
+JAPANESE = "ありがとうございます。私の場合は、温度を下げたら直りました。\n\nすでに説明書を読みましたが、変わりません。まずモーターを確認してください。画面が5分後に止まります。なぜですか？"
+
+
+def test_japanese_of_each_pair_though_the_clean_state_is_counted_over_it(spark):
+    bad = {}
+    for written in ("shift_jis", "euc_jp"):
+        for read in encoding.READ_AS:
+            there = encoding.SINGLE[read][1]
+            bad[written, read] = "\n".join("".join(there[b] for b in line.encode(written)) for line in JAPANESE.split("\n"))
+    texts = CLEAN * 20 + [3 * (x + "\n") for x in bad.values()]
+    model = encoding.Model(encoding.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {pair for pair, x in bad.items() if encoding.examine(model, x)[1] != JAPANESE} == set()
+    for x in CLEAN:
+        assert encoding.examine(model, x) == ([], x)
