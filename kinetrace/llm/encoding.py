@@ -325,6 +325,27 @@ def unstrip(word: str, log) -> str | None:
     return "".join(out[1:]) if changed else None
 
 
+def deeper(once: str, read: str) -> list[tuple[str, str]]:
+    """(state, restored word) of every further round of UTF-8 misreading, until no byte is left to decode.
+
+    Each round shortens the word, so there are few.  Rounds of one reader are always states,
+    mixed ones where they restore otherwise.
+    """
+    out, level = [], [((read,), once)]
+    while level:
+        below, seen = [], set()
+        for chain, x in level:
+            for again in dict.fromkeys(("cp1252", "latin-1", read)):
+                back = SINGLE[again][0]
+                y = _decode_utf8(bytes(back.get(c, 0) for c in x), x)
+                if y and (y not in seen or {*chain[:-1]} <= {again}):
+                    seen.add(y)
+                    below.append(((again, *chain), y))
+        out += [("utf-8>" + ">".join(chain), y) for chain, y in below]
+        level = below
+    return out
+
+
 def inverses(word: str) -> list[tuple[str, str]]:
     """(state, restored word) for every pair that could have made the word."""
     out = []
@@ -339,10 +360,8 @@ def inverses(word: str) -> list[tuple[str, str]]:
         once = _decode_utf8(raw, word)
         if once:
             add(f"utf-8>{read}", once)
-            for again in ("cp1252", "latin-1", read):
-                twice = _decode_utf8(bytes(SINGLE[again][0].get(c, 0) for c in once), once)
-                if twice:
-                    add(f"utf-8>{again}>{read}", twice)
+            for state, restored in deeper(once, read):
+                add(state, restored)
         if read in LOWERED and word == word.lower():
             add(f"utf-8>{read}>lower", _decode_lowered(word, LOWERED[read]))
         if all(c in back for c in word):

@@ -185,3 +185,14 @@ def test_japanese_of_each_pair_though_the_clean_state_is_counted_over_it(spark):
     assert {pair for pair, x in bad.items() if encoding.examine(model, x)[1] != JAPANESE} == set()
     for x in CLEAN:
         assert encoding.examine(model, x) == ([], x)
+
+
+@pytest.mark.parametrize("times", [3, 4, 5])
+@pytest.mark.parametrize("k", [0, 2, 3, 5, 6])
+def test_text_encoded_again_and_again(model, k, times):
+    bad = mixed = CLEAN[k]
+    for n in range(times):
+        bad = "".join(encoding.SINGLE["cp1252"][1][b] for b in bad.encode("utf-8"))
+        mixed = "".join(encoding.SINGLE[("latin-1", "cp1252")[n % 2]][1][b] for b in mixed.encode("utf-8"))
+    assert encoding.examine(model, bad)[1] == CLEAN[k]
+    assert encoding.examine(model, mixed)[1] == CLEAN[k]
