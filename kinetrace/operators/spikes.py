@@ -34,6 +34,8 @@ SCHEMA = (
     "field string, rec_id string, source string, "
     "xg array<int>, xt array<int>, xh array<double>, "  # excursions: group, reading, height
     "rg array<int>, rl array<int>, rt array<array<int>>, "  # runs: group, length, readings
+    "sg array<int>, sl array<int>, sc array<boolean>, st array<array<int>>, "  # stretches of one run: as runs; does it begin in the core
+    "mg array<int>, lo array<double>, hi array<double>, "  # stretches: least and largest reading of each group
     "pt array<int>, "  # impossible readings
     "hk array<int>, hn array<int>, "  # detail histogram: group * 1024 + bin
     "lk array<int>, ln array<int>"  # run histogram: group * 64 + length
@@ -74,8 +76,12 @@ def _counts(keys: np.ndarray) -> tuple[list[int], list[int]]:
     return k.tolist(), n.tolist()
 
 
-def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray) -> dict:
-    """One series: readings ``x`` in order, their numbers ``t``; only ``core`` ones report."""
+def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray, part: bool = False) -> dict:
+    """One series: readings ``x`` in order, their numbers ``t``; only ``core`` ones report.
+
+    A series that never moves is no stuck one.  A stretch (``part``) cannot tell: what is one
+    run here is reported apart, with the bounds by which the whole series is judged.
+    """
     n, group = len(x), np.array(field.group)
     groups = int(group.max()) + 1
     y, missing = wavelet.fill(x.astype(np.float64))
@@ -104,18 +110,25 @@ def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray) -> dict:
     out["hk"], out["hn"] = _counts(np.concatenate(keys))
 
     rg, rl, rt, lengths = [], [], [], []
+    still = {k: [] for k in ("sg", "sl", "sc", "st", "mg", "lo", "hi")}
     if field.whole:
         present = ~missing.all(axis=1)
         at = [(0, np.flatnonzero(present), y)]
     else:
         at = [(d, np.flatnonzero(~missing[:, d]), y[:, d : d + 1]) for d in range(field.width)]
     for g, rows, v in at:
+        if part and len(rows):
+            for k, b in (("mg", g), ("lo", float(v[rows].min())), ("hi", float(v[rows].max()))):
+                still[k].append(b)
         if len(rows) < 2:
             continue
         v = v[rows]
         starts, ends = wavelet.runs((v[1:] == v[:-1]).all(axis=1))
-        if len(starts) < 2:
-            continue  # never moves here
+        if len(starts) < 2:  # never moves here
+            if part:
+                for k, b in (("sg", g), ("sl", len(rows)), ("sc", bool(core[rows[0]])), ("st", t[rows[core[rows]]].tolist())):
+                    still[k].append(b)
+            continue
         length = ends - starts
         lengths.append(np.minimum(length[core[rows[starts]]], wavelet.RUN_CAP) + g * 64)
         for k in np.flatnonzero(length >= wavelet.SHORTEST_RUN):
@@ -125,7 +138,7 @@ def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray) -> dict:
                 rg.append(g)
                 rl.append(int(length[k]))
                 rt.append(t[inside].tolist())
-    out |= {"rg": rg, "rl": rl, "rt": rt}
+    out |= {"rg": rg, "rl": rl, "rt": rt} | still
     out["lk"], out["ln"] = _counts(np.concatenate(lengths) if lengths else np.empty(0, np.int64))
     return out
 
@@ -141,7 +154,7 @@ def _rows(column: pa.Array, width: int) -> list[np.ndarray | None]:
 
 def _out(rows: list[dict]) -> pa.RecordBatch:
     i32 = pa.list_(pa.int32())
-    kinds = {"field": pa.string(), "rec_id": pa.string(), "source": pa.string(), "xg": i32, "xt": i32, "xh": pa.list_(pa.float64()), "rg": i32, "rl": i32, "rt": pa.list_(i32), "pt": i32, "hk": i32, "hn": i32, "lk": i32, "ln": i32}
+    kinds = {"field": pa.string(), "rec_id": pa.string(), "source": pa.string(), "xg": i32, "xt": i32, "xh": pa.list_(pa.float64()), "rg": i32, "rl": i32, "rt": pa.list_(i32), "sg": i32, "sl": i32, "sc": pa.list_(pa.bool_()), "st": pa.list_(i32), "mg": i32, "lo": pa.list_(pa.float64()), "hi": pa.list_(pa.float64()), "pt": i32, "hk": i32, "hn": i32, "lk": i32, "ln": i32}
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
 
 
@@ -180,7 +193,7 @@ def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
         order = np.argsort(t)
         x = np.stack([table.column(d).to_numpy() for d in dims], axis=1)[order]
         t, chunk = t[order].astype(np.int32), table.column("_chunk")[0].as_py()
-        found = scan(field, x, t, t // CHUNK == chunk)
+        found = scan(field, x, t, t // CHUNK == chunk, part=True)
         one = _out([found | {"field": field.name, "rec_id": table.column("rec_id")[0].as_py(), "source": table.column("source")[0].as_py()}])
         return pa.Table.from_batches([one])
 
@@ -215,9 +228,20 @@ def usual_change(scanned: DataFrame) -> DataFrame:
     return found.where("not pool").join(pooled, ["field", "g"]).select("field", "source", "g", F.when(F.col("total") >= FEW, F.col("usual")).otherwise(F.col("usual_all")).alias("usual"))
 
 
-def usual_run(scanned: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+def moving_stills(scanned: DataFrame) -> DataFrame:
+    """(field, rec_id, source, g, l, core, ts): stretches of one run, of series that move elsewhere."""
+    key = ["field", "rec_id", "source", "g"]
+    bounds = scanned.select(*key[:3], F.explode(F.arrays_zip("mg", "lo", "hi")).alias("c")).select(*key[:3], F.col("c.mg").alias("g"), "c.lo", "c.hi")
+    runs = scanned.select(*key[:3], F.explode(F.arrays_zip("sg", "sl", "sc", "st")).alias("c")).select(*key[:3], F.col("c.sg").alias("g"), F.struct(F.col("c.sl").alias("l"), F.col("c.sc").alias("core"), F.col("c.st").alias("ts")).alias("s"))
+    moving = bounds.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    on = F.expr("s.field = m.field and s.rec_id = m.rec_id and s.source <=> m.source and s.g = m.g")
+    return runs.alias("s").join(moving.alias("m"), on, "left_semi").select(*key, "s.l", "s.core", "s.ts")
+
+
+def usual_run(scanned: DataFrame, stills: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """Run length beyond which a source, field and group counts as stuck."""
     cells = scanned.select("field", "source", F.explode(F.arrays_zip("lk", "ln")).alias("c")).select("field", "source", F.expr("cast(c.lk div 64 as int)").alias("g"), F.expr("c.lk % 64").alias("l"), F.col("c.ln").alias("n"))
+    cells = cells.unionByName(stills.where("core").select("field", "source", "g", "l", F.lit(1).alias("n")))
     per = cells.groupBy("field", "source", "g").agg(*(F.sum(F.when(F.col("l") >= k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)))
     p = F.greatest((F.col("n2") + 0.5) / (F.col("n1") + 1.0), F.when(F.col("n2") >= FEW, F.col("n3") / F.col("n2")).otherwise(0.0))
     least = F.create_map(*(x for f in fields for x in (F.lit(f.name), F.lit(float(f.longest)))))
@@ -226,7 +250,8 @@ def usual_run(scanned: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
 
 def implausible(scanned: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """(field, rec_id, t) of implausible readings, from the scanned rows of all fields."""
-    change, run = usual_change(scanned), usual_run(scanned, fields)
+    stills = moving_stills(scanned)
+    change, run = usual_change(scanned), usual_run(scanned, stills, fields)
     spikes = (
         scanned.select("field", "rec_id", "source", F.explode(F.arrays_zip("xg", "xt", "xh")).alias("c"))
         .select("field", "rec_id", "source", F.col("c.xg").alias("g"), F.col("c.xt").alias("t"), F.col("c.xh").alias("h"))
@@ -238,6 +263,7 @@ def implausible(scanned: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     stuck = (
         scanned.select("field", "rec_id", "source", F.explode(F.arrays_zip("rg", "rl", "rt")).alias("c"))
         .select("field", "rec_id", "source", F.col("c.rg").alias("g"), F.col("c.rl").alias("l"), F.col("c.rt").alias("ts"))
+        .unionByName(stills.drop("core"))
         .alias("s")
         .join(run.alias("u"), F.expr("s.field = u.field and s.source <=> u.source and s.g = u.g"))
         .where(F.col("l") >= F.col("most"))

@@ -55,6 +55,23 @@ def test_runs_and_spikes_at_the_border_of_stretches(spark, monkeypatch):
     assert found(spark, rows("r", x)) == want
 
 
+def test_stuck_through_whole_stretches(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 64)
+    monkeypatch.setattr(S, "HALO", 24)
+    rng = np.random.default_rng(4)
+    tail, middle, head, still, apart = (recording(rng, 400) for _ in range(5))
+    tail[180:, 1] = tail[180, 1]
+    middle[50:350, 6] = middle[50, 6]
+    head[:300, 0] = head[300, 0]
+    still[:, 8] = 0.25
+    apart[:, 3] = 1.0
+    apart[200:, 3] = 2.0
+    data = [r for name, x in (("tail", tail), ("middle", middle), ("head", head), ("still", still)) for r in rows(name, x)]
+    data += rows("apart", apart, drop=range(128, 256))  # each of the stretches left is one run
+    want = {("tail", t) for t in range(180, 400)} | {("middle", t) for t in range(50, 350)} | {("head", t) for t in range(301)}
+    assert found(spark, data) == want | {("apart", t) for t in (*range(128), *range(256, 400))}
+
+
 def test_constant_dimension_and_coarse_source(spark):
     rng = np.random.default_rng(2)
     still = recording(rng)
