@@ -4,7 +4,7 @@ Three tests name a pair: the same id but for writing and revision mark, near-equ
 captions, near-equal motion.  The last two work alike: rows with equal content form a
 class; each class has a MinHash signature of its shingles, cut into bands; only classes
 that share a band and lie on different sides of the split are compared, by their exact
-Jaccard similarity; confirmed class pairs are expanded to rows at the very end.
+Jaccard similarity, short captions also by the number of changed words; confirmed class pairs are expanded to rows at the very end.
 
 A caption's shingles are runs of three normalised words.  A motion's shingles are its
 records, told apart by a few dimensions on a coarse grid; every hash function has dimensions
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 WIDTH = 499
 LEAST_WORDS = 12
 SHINGLE = 3  #: words; five would leave too little of a caption with a few words changed
-CAPTION_BANDS, CAPTION_ROWS, CAPTION_JACCARD = 64, 4, 0.45
+CAPTION_BANDS, CAPTION_ROWS, CAPTION_JACCARD = 128, 4, 0.45
+CHANGED = 3  #: words put in, left out or replaced between near-equal short captions
+SHORT = 28  #: words; below 26 on a side, so many changes leave too few shingles
 MOTION_BANDS, MOTION_ROWS, MOTION_JACCARD = 48, 2, 0.7
 MOTION_DIMS, GRID = 8, 0.08  #: dimensions and cell of one hash function of motions
 NEAR = 0.012  #: difference within which two values of a motion are the same
@@ -39,12 +41,15 @@ BLOOM = 1 << 17  #: words of 63 bits in the filter of candidate rows: 2 MB at an
 SEED = 7
 
 _rng = np.random.default_rng(SEED)
-_MUL = _rng.integers(1, 1 << 63, CAPTION_BANDS * CAPTION_ROWS, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, CAPTION_BANDS * CAPTION_ROWS, dtype=np.uint64)
+_MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _FUNCTIONS = MOTION_BANDS * MOTION_ROWS
 _DIMS = np.stack([_rng.choice(np.arange(15, 471), MOTION_DIMS, replace=False) for _ in range(_FUNCTIONS)])
 _OFFSET = _rng.random((_FUNCTIONS, MOTION_DIMS)) * GRID
 _COEF = _rng.integers(1, 1 << 63, (_FUNCTIONS, MOTION_DIMS), dtype=np.uint64) | np.uint64(1)
+_MORE = CAPTION_BANDS * CAPTION_ROWS - 256  # drawn last: the others stay as they were
+_MUL = np.r_[_MUL, _rng.integers(1, 1 << 63, _MORE, dtype=np.uint64) | np.uint64(1)]
+_ADD = np.r_[_ADD, _rng.integers(0, 1 << 63, _MORE, dtype=np.uint64)]
 _LOOK = np.linspace(9, 470, LOOK).astype(int)
 WORD = re.compile(r"\w+")
 
@@ -80,6 +85,34 @@ def caption_signature(words: list[str]) -> tuple[list[int], list[int]]:
     return h.view(np.int64).tolist(), _bands(least, CAPTION_ROWS)
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    """``CHANGED`` + 1 stretches of ``n`` words: that many changes leave one of them whole."""
+    at = [n * k // (CHANGED + 1) for k in range(CHANGED + 2)]
+    return list(zip(at, at[1:]))
+
+
+def short_keys(words: list[str]) -> tuple[list[int], list[int]]:
+    """Keys of a short caption's own stretches, and of all stretches that one within ``CHANGED`` words of it may have."""
+
+    def key(n, k, part):
+        return xxhash.xxh3_64_intdigest(f"{n}:{k}:{' '.join(part)}") - (1 << 63)
+
+    n = len(words)
+    own = [key(n, k, words[a:b]) for k, (a, b) in enumerate(_segments(n))]
+    near = set()
+    for m in range(n - CHANGED, n + CHANGED + 1):
+        for k, (a, b) in enumerate(_segments(m)):
+            for by in range(-CHANGED, CHANGED + 1):
+                if 0 <= a + by and b + by <= n:
+                    near.add(key(m, k, words[a + by : b + by]))
+    return own, sorted(near)
+
+
+def as_characters(words: list[str]) -> str:
+    """A character for each word, so that the distance of strings is that of words."""
+    return "".join(chr(0x10000 + xxhash.xxh3_64_intdigest(w) % 0x100000) for w in words)
+
+
 def motion_signature(x: np.ndarray) -> list[int]:
     """Band keys of the records of a motion; none if it has no finite record to tell by."""
     v = x[:, _DIMS]  # records, functions, dimensions
@@ -137,10 +170,10 @@ def _classes(signed: DataFrame, *keep: str) -> DataFrame:
     return signed.groupBy("cls").agg(*(F.first(k).alias(k) for k in keep), F.min("row_id").alias("rep"), F.max("_train").alias("on_train"), F.max(~F.col("_train")).alias("on_eval"))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, train: str = "bands", other: str = "bands") -> DataFrame:
     """(ct, ce): different classes of different sides that share a band."""
-    t = classes.where("on_train").select(F.col("cls").alias("ct"), F.explode("bands").alias("band"))
-    e = classes.where("on_eval").select(F.col("cls").alias("ce"), F.explode("bands").alias("band"))
+    t = classes.where("on_train").select(F.col("cls").alias("ct"), F.explode(train).alias("band"))
+    e = classes.where("on_eval").select(F.col("cls").alias("ce"), F.explode(other).alias("band"))
     return t.join(e, "band").where("ct != ce").select("ct", "ce").distinct()
 
 
@@ -161,22 +194,26 @@ def caption_pairs(rows: DataFrame) -> DataFrame:
                 words = caption_words(text)
                 if len(words) >= LEAST_WORDS:
                     shingles, bands = caption_signature(words)
-                    out.append({"row_id": row, "_train": train, "cls": xxhash.xxh3_128_hexdigest(" ".join(words)), "shingles": shingles, "bands": bands})
+                    own, near = short_keys(words) if len(words) <= SHORT else ([], [])
+                    code = as_characters(words) if len(words) <= SHORT else None
+                    out.append({"row_id": row, "_train": train, "cls": xxhash.xxh3_128_hexdigest(" ".join(words)), "shingles": shingles, "bands": bands, "own": own, "near": near, "code": code})
             if out:
                 i64 = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_id", pa.int64()), ("_train", pa.bool_()), ("cls", pa.string()), ("shingles", i64), ("bands", i64)]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_id", pa.int64()), ("_train", pa.bool_()), ("cls", pa.string()), ("shingles", i64), ("bands", i64), ("own", i64), ("near", i64), ("code", pa.string())]))
 
     long = rows.where(F.size(F.split(F.trim("text"), r"\s+")) >= LEAST_WORDS)
-    signed = long.select("row_id", "text", "_train").mapInArrow(work, "row_id long, _train boolean, cls string, shingles array<long>, bands array<long>")
-    classes = _classes(signed, "shingles", "bands")
-    own = classes.select("cls", "shingles")
+    signed = long.select("row_id", "text", "_train").mapInArrow(work, "row_id long, _train boolean, cls string, shingles array<long>, bands array<long>, own array<long>, near array<long>, code string")
+    classes = _classes(signed, "shingles", "bands", "own", "near", "code")
+    keyed = classes.withColumn("own", F.concat("bands", "own")).withColumn("near", F.concat("bands", "near"))
+    held = classes.select("cls", "shingles", "code")
     both = (
-        _candidates(classes)
-        .join(own.select(F.col("cls").alias("ct"), F.col("shingles").alias("st")), "ct")
-        .join(own.select(F.col("cls").alias("ce"), F.col("shingles").alias("se")), "ce")
+        _candidates(keyed, "own", "near")
+        .join(held.select(F.col("cls").alias("ct"), F.col("shingles").alias("st"), F.col("code").alias("wt")), "ct")
+        .join(held.select(F.col("cls").alias("ce"), F.col("shingles").alias("se"), F.col("code").alias("we")), "ce")
     )
     shared = F.size(F.array_intersect("st", "se"))
-    near = both.where(shared >= CAPTION_JACCARD * (F.size("st") + F.size("se") - shared)).select("ct", "ce")
+    alike = shared >= CAPTION_JACCARD * (F.size("st") + F.size("se") - shared)
+    near = both.where(alike | F.coalesce(F.levenshtein("wt", "we", CHANGED) >= 0, F.lit(False))).select("ct", "ce")
     return _expand(signed.select("cls", "row_id", "_train"), near)
 
 

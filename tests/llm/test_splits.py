@@ -96,3 +96,23 @@ def test_candidates_lose_no_near_pair():
             other[k] = f"w{rng.integers(1e9)}"
         hit += bool({*S.caption_signature(words)[1]} & {*S.caption_signature(other)[1]})
     assert hit >= 99
+
+
+def test_short_captions_with_few_words_changed(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for n in range(12, 28):
+        words = [f"w{n}x{k}" for k in range(n)]
+        rows.append(row(n, "train", f"t{n}", " ".join(words)))
+        for k in (1, 2, 3, 5):
+            other = list(words)
+            for i in np.linspace(1, n - 2, k).astype(int):
+                other[i] = f"v{rng.integers(1e9)}"
+            rows.append(row(100 * k + n, "val", f"e{n}_{k}", " ".join(other)))
+            if k <= S.CHANGED:
+                want.add((n, 100 * k + n))
+        if n >= 14:  # two left out, one put in
+            rows.append(row(1000 + n, "test", f"f{n}", " ".join([*words[:2], "new", *words[2:5], *words[6:9], *words[10:]])))
+            want.add((n, 1000 + n))
+    got, *_ = pairs(spark, rows)
+    assert got == want
