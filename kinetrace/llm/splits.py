@@ -114,16 +114,15 @@ def as_characters(words: list[str]) -> str:
 
 
 def motion_signature(x: np.ndarray) -> list[int]:
-    """Band keys of the records of a motion; none if it has no finite record to tell by."""
+    """Band keys of the records of a motion, but of bands with a function that finds no finite record."""
     v = x[:, _DIMS]  # records, functions, dimensions
     with np.errstate(over="ignore", invalid="ignore"):
         cell = np.floor((v + _OFFSET) / GRID)
         ok = np.isfinite(cell).all(axis=2)
         token = _mix((np.where(np.isfinite(cell), cell, 0).clip(-1e9, 1e9).astype(np.int64).view(np.uint64) * _COEF).sum(axis=2))
     token[~ok] = np.iinfo(np.uint64).max
-    if not ok.any(axis=0).all():
-        return []
-    return _bands(token.min(axis=0), MOTION_ROWS)
+    told = ok.any(axis=0).reshape(-1, MOTION_ROWS).all(axis=1)
+    return [key for key, all_told in zip(_bands(token.min(axis=0), MOTION_ROWS), told) if all_told]
 
 
 def matched(a: np.ndarray, b: np.ndarray) -> int:

@@ -116,3 +116,15 @@ def test_short_captions_with_few_words_changed(spark):
             want.add((n, 1000 + n))
     got, *_ = pairs(spark, rows)
     assert got == want
+
+
+def test_dead_channel_leaves_the_other_bands():
+    rng = np.random.default_rng(4)
+    for dead in range(15, 471, 19):
+        x = motion(rng)
+        y = x + rng.normal(size=x.shape) * 0.002
+        x[:, dead] = np.nan
+        assert {*S.motion_signature(x)} & {*S.motion_signature(y)}
+        y[:, dead] = np.nan
+        assert {*S.motion_signature(x)} & {*S.motion_signature(y)}
+    assert S.motion_signature(np.full((3, 499), np.nan)) == []
