@@ -68,12 +68,9 @@ def cut(n: int, bounds: dict[int, float], starts: dict[int, float], limit: int =
     while n - at > limit:
         found = None
         for name, sorted_at, depth in kinds:
-            for low in (at + max(overlap, limit // 2), at + overlap):  # the upper half of the window first
-                a, b = np.searchsorted(sorted_at, [low + 1, at + limit + 1])
-                if b > a:
-                    found = max((depth[p], p) for p in sorted_at[a:b].tolist())[1], name
-                    break
-            if found:
+            a, b = np.searchsorted(sorted_at, [at + overlap + 1, at + limit + 1])
+            if b > a:  # of equally deep ones the last
+                found = max((depth[p], p) for p in sorted_at[a:b].tolist())[1], name
                 break
         stop, name = found or (at + limit, "limit")
         out.append((at, stop, name))

@@ -79,3 +79,9 @@ def test_tables(spark):
     sound([p[1:] for p in own], 5000, 300, 30)
     assert own[0][2:] == (250, "event")
     assert P.pieces(*(f.limit(0) for f in frames)).count() == 0
+
+
+def test_deepest_bound_of_the_whole_window():
+    assert P.cut(500, {120: 0.9, 200: 0.1}, {})[0] == (0, 120, "event")
+    assert P.cut(500, {120: 0.5, 200: 0.5}, {})[0] == (0, 200, "event")
+    assert P.cut(500, {}, {40: 0.9, 290: 0.1})[0] == (0, 40, "start")
