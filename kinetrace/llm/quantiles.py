@@ -7,8 +7,14 @@ the three become the parent.  Digests of parts add node by node.  Whatever the o
 shape of the merges, no rank is off by more than LEVELS/k of n (1 % by default), and while
 n < k a digest is exact on the rounded values.
 
-Digests of one key are written as blocks of dimensions, merged first over ``FAN`` parts
-and then over all, batch by batch: no task holds more than a few blocks.
+Digests of one key are written as blocks of dimensions.  A partition hands on what it holds
+whenever that reaches ``FLUSH`` nodes; the digests of the partitions are then added in a tree
+of ``FAN`` children each, as many levels as the number of partitions asks for, and inside a
+task batch by batch: no task holds more than a few blocks, or adds more than ``FAN`` partitions
+of a key.
+
+A digest row packs its nodes as the steps between them and its counts, both with equal bytes
+together (all lowest ones first), which the shuffle compresses well.
 
 Null, NaN and infinite values do not count; a key and dimension without finite values
 gives no row.  Every row counts, second deliveries too.
@@ -25,11 +31,14 @@ LEVELS = 20
 ERROR = 0.01
 K = int(LEVELS / ERROR)
 BLOCK = 32  #: dimensions in one row of a digest table
-FAN = 16
+FAN = 64  #: digests of a key that a task adds
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 _DROP = 32 - LEVELS
 _NODE = LEVELS + 1  #: bits of a node number: the root is 1, leaves start at 2^LEVELS
-_MOST = 1 << 20  #: nodes gathered before they are added up
+FLUSH = 1 << 19  #: nodes a partition holds
+_MOST = 1 << 18  #: nodes gathered before they are added up
+_STEP = 1 << 17  #: values turned into nodes at a time
+_NODE_BYTES, _COUNT_BYTES = 4, 6
 
 
 def leaf(x: np.ndarray) -> np.ndarray:
@@ -53,7 +62,7 @@ def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def compress(keys: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -124,55 +133,83 @@ class _Parts:
         return compress(*add(np.concatenate(self.k), np.concatenate(self.c)))
 
 
-def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    offsets = (cuts * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+def _places(cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lowest byte of each number of packed rows lies, and how far its next one is."""
+    n = np.diff(cuts)
+    each = np.repeat(n, n)
+    return np.arange(cuts[-1]) + np.repeat((width - 1) * cuts[:-1], n), each
+
+
+def _binary(numbers: np.ndarray, cuts: np.ndarray, width: int) -> pa.Array:
+    """Rows of numbers, those from cut to cut in one, ``width`` bytes each, equal bytes together."""
+    at, step = _places(cuts, width)
+    out = np.empty(int(cuts[-1]) * width, np.uint8)
+    raw = numbers.astype("<i8").view(np.uint8).reshape(-1, 8)
+    for b in range(width):
+        out[at] = raw[:, b]
+        at += step
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(out)])
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed rows one after the other, and the cuts between rows."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if off[-1] == off[0]:
+        return np.empty(0, np.int64), np.zeros(len(off), np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    cuts = (off - off[0]) // width
+    at, step = _places(cuts, width)
+    out = np.zeros((int(cuts[-1]), 8), np.uint8)
+    for b in range(width):
+        out[:, b] = raw[at]
+        at += step
+    return out.view("<i8")[:, 0], cuts
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray):
     """(block numbers, nodes, counts) of sorted nodes, a row per block, some megabytes at a time."""
     block = (keys >> _NODE) // BLOCK
-    local = (keys - ((block * BLOCK) << _NODE)).astype(np.uint32)
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+    steps = np.diff(keys, prepend=0)
+    first = cuts[:-1]
+    steps[first] = keys[first] - ((block[first] * BLOCK) << _NODE)
     at = 0
     while at < len(cuts) - 1:
-        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + (1 << 20), "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + _MOST, "right")) - 1)
         a, b = cuts[at], cuts[to]
-        yield block[cuts[at:to]], _binary(local[a:b], cuts[at : to + 1] - a), _binary(counts[a:b].astype(np.int64), cuts[at : to + 1] - a)
+        some = cuts[at : to + 1] - a
+        yield block[cuts[at:to]], _binary(steps[a:b], some, _NODE_BYTES), _binary(counts[a:b], some, _COUNT_BYTES)
         at = to
 
 
 def _portions(batch: pa.RecordBatch):
-    """Slices of a digest batch of about half of ``_MOST`` nodes."""
+    """Slices of a digest batch of about ``_STEP`` nodes."""
     column = batch.column("nodes")
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     at = 0
     while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + 4 * (_MOST // 2), "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + _NODE_BYTES * _STEP, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
 
 def _nodes(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All nodes of a digest batch, the rows' dimensions numbered by their group."""
-
-    def flat(name, kind):
-        column = batch.column(name)
-        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        size = np.dtype(kind).itemsize
-        return np.frombuffer(column.buffers()[2], kind, (off[-1] - off[0]) // size, int(off[0])), np.diff(off) // size
-
-    nodes, n = flat("nodes", np.uint32)
-    counts, _ = flat("counts", np.int64)
-    return nodes.astype(np.int64) + np.repeat((group.astype(np.int64) * BLOCK) << _NODE, n), counts
+    steps, cuts = _numbers(batch.column("nodes"), _NODE_BYTES)
+    counts, _ = _numbers(batch.column("counts"), _COUNT_BYTES)
+    n = np.diff(cuts)
+    keys = np.cumsum(steps)
+    before = np.r_[0, keys][cuts[:-1]]  # the steps of a row start anew
+    return keys + np.repeat(((group.astype(np.int64) * BLOCK) << _NODE) - before, n), counts
 
 
 def _schema(df: DataFrame, by: list[str]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by) + "block int, nodes binary, counts binary"
 
 
-def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
-    """Mergeable digests (``by``, block, nodes, counts) of the dimensions of an array column.
+def partials(df: DataFrame, column: str, width: int, by: list[str]) -> tuple[DataFrame, int]:
+    """Digests (``by``, block, nodes, counts, part) that single partitions make of the
+    dimensions of an array column, and how many partitions there are.
 
     A flat array of several records counts each record.  Arrays that are no whole records
     are left out.
@@ -201,34 +238,51 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
             n = np.diff(off)
             rows = np.flatnonzero(ok & (n > 0) & (n % width == 0))
             keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            reach = np.cumsum(n[rows])
             at = 0
-            while at < len(rows):  # about half a million values at a time
-                to = at + max(1, int(np.searchsorted(np.cumsum(n[rows[at:]]), 1 << 19)))
+            while at < len(rows):
+                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _STEP, "right")))
                 some = rows[at:to]
                 own = np.array([index.setdefault(keys[i], len(index)) for i in some.tolist()], np.int64)
-                x = np.concatenate([v[off[i] : off[i + 1]] for i in some.tolist()]).astype(np.float64)
-                dim = np.repeat(own * (per * BLOCK), n[some]) + np.tile(np.arange(width, dtype=np.int64), len(x) // width)
-                finite = np.isfinite(x)
-                node = (dim[finite] << _NODE) | (leaf(x[finite]) + (1 << LEVELS))
-                node.sort()
-                cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
-                parts.put(node[cut[:-1]], np.diff(cut).astype(np.int32))
+                first = np.repeat(own * (per * BLOCK), n[some] // width)  # of each record
+                flat = v[off[some[0]] : off[some[0] + 1]] if len(some) == 1 else np.concatenate([v[off[i] : off[i + 1]] for i in some.tolist()])
+                for a in range(0, len(first), max(1, _STEP // width)):  # a long array, too, in steps
+                    dims = first[a : a + max(1, _STEP // width)]
+                    x = flat[a * width : (a + len(dims)) * width]
+                    finite = np.isfinite(x)
+                    node = ((dims[:, None] + np.arange(width)).ravel()[finite] << _NODE) | (leaf(x[finite]) + (1 << LEVELS))
+                    node.sort()
+                    cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, np.int64)
+                    parts.put(node[cut[:-1]], np.diff(cut).astype(np.int32))
                 at = to
-                if parts.size > 2 * _MOST:
+                if parts.size > FLUSH:
                     yield from flush()
         yield from flush()
 
-    raw = df.select(*by, column).mapInArrow(part, _schema(df, by) + ", part int")
-    return merged(raw, by, salt=F.expr(f"part div {FAN}"))
+    source = df.select(*by, column)
+    return source.mapInArrow(part, _schema(df, by) + ", part int"), source.rdd.getNumPartitions()
 
 
-def merged(digest: DataFrame, by: list[str], salt=None) -> DataFrame:
-    """Digests of equal keys added into one: keys in order, many small ones at a time, a
-    large one batch by batch."""
-    keys = [*by, "block"]
-    if salt is not None:
-        digest = digest.withColumn("_salt", salt.cast("int"))
-        keys.append("_salt")
+def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
+    """Mergeable digests (``by``, block, nodes, counts) of the dimensions of an array column."""
+    return tree(*partials(df, column, width, by), by)
+
+
+def tree(raw: DataFrame, parts: int, by: list[str]) -> DataFrame:
+    """Digests of ``parts`` partitions, numbered by ``part``, added into one of each key."""
+    while parts > FAN:
+        raw, parts = merged(raw, by, F.expr(f"part div {FAN}")), -(-parts // FAN)
+    return merged(raw, by)
+
+
+def merged(digest: DataFrame, by: list[str], part=None) -> DataFrame:
+    """Digests of equal keys (and ``part``) added into one: keys in order, many small ones at
+    a time, a large one batch by batch."""
+    keys, kept = [*by, "block"], ""
+    if part is not None:
+        digest = digest.withColumn("part", part.cast("int"))
+        keys.append("part")
+        kept = ", part int"
 
     def combine(batches):
         parts, held = _Parts(), []  # held: the keys gathered, in order
@@ -244,7 +298,8 @@ def merged(digest: DataFrame, by: list[str], salt=None) -> DataFrame:
             for group, nodes, counts in _packed(k, c):
                 own = [held[g] for g in group.tolist()]
                 head = [pa.array([o[i] for o in own], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([o[len(by)] for o in own], pa.int32()), nodes, counts], [*by, "block", "nodes", "counts"])
+                tail = [pa.array([o[-1] for o in own], pa.int32())] if kept else []
+                yield pa.RecordBatch.from_arrays([*head, pa.array([o[len(by)] for o in own], pa.int32()), nodes, counts, *tail], [*by, "block", "nodes", "counts", *(["part"] if kept else [])])
             parts, held = _Parts(), keep
             parts.put(*rest)
 
@@ -257,12 +312,12 @@ def merged(digest: DataFrame, by: list[str], salt=None) -> DataFrame:
                     held.append(key)
                 group[i] = len(held) - 1
             parts.put(*_nodes(batch, group))
-            if len(held) > 1 and parts.size > _MOST // 4:
+            if len(held) > 1 and parts.size > _MOST:
                 yield from done(kinds, True)
         if held:
             yield from done(kinds, False)
 
-    schema = _schema(digest, by)
+    schema = _schema(digest, by) + kept
     return digest.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "nodes", "counts").mapInArrow(combine, schema)
 
 
@@ -283,6 +338,30 @@ def read(digest: DataFrame, by: list[str], percents=PERCENTS) -> DataFrame:
     return digest.select(*by, "block", "nodes", "counts").mapInArrow(work, f"{head}dim int, n long, " + ", ".join(f"{p} double" for p in names))
 
 
+def rank_errors(values: DataFrame, answers: DataFrame, by: list[str], percents=PERCENTS, most: int = 1 << 17) -> DataFrame:
+    """(``by``, dim, n, worst): largest distance, as a share of ``n``, of the ranks of each
+    answer from the wanted one, counted over all finite values (``by``, dim, x).
+
+    An answer stands for the values that round to it (2^-12 of it).  Answers of up to
+    ``most`` keys are sent to every task, more are joined by a shuffle; null keys are keys.
+    """
+    names = [f"p{p:02d}" for p in percents]
+    keys = [*by, "dim"]
+    side = answers.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", *names)
+    if answers.limit(most + 1).count() <= most:
+        side = F.broadcast(side)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = values.join(side, same)
+    tol = {p: F.abs(p) * 2.0**-12 + 1e-37 for p in names}
+    counts = [F.count_if(c).alias(n) for p in names for n, c in ((f"_u_{p}", F.col("x") < F.col(p) - tol[p]), (f"_m_{p}", F.col("x") <= F.col(p) + tol[p]))]
+    per = both.groupBy(*keys).agg(F.count("*").alias("_total"), F.first("n").alias("n"), *counts)
+    off = []
+    for p, name in zip(percents, names):
+        want = F.greatest(F.lit(1), F.ceil(F.col("_total") * (p / 100) - 1e-9))
+        off.append(F.greatest(want - F.col(f"_m_{name}"), F.col(f"_u_{name}") + 1 - want, F.lit(0)))
+    return per.select(*keys, F.col("_total").alias("n"), F.when(F.col("n") == F.col("_total"), F.greatest(*off) / F.col("_total")).otherwise(1.0).alias("worst"))
+
+
 def column_percentiles(df: DataFrame, column: str, width: int, by: list[str], percents=PERCENTS) -> DataFrame:
     """Percentiles of every dimension of an array column, per key."""
-    return read(merged(digests(df, column, width, by), by), by, percents)
+    return read(digests(df, column, width, by), by, percents)

@@ -9,37 +9,55 @@ from ..shared import materialize
 from . import encoding, packing, pieces, quantiles, splits, tokens
 
 
-#: Array columns whose percentiles are asked for: table, column, width.
-WIDE = (("umr_release", "features", RECORD_WIDTH), ("norm_stats", "packed_clip_p01", RECORD_WIDTH), ("norm_stats", "packed_clip_p99", RECORD_WIDTH), ("feature_fields", "root_traj", 9))
+#: Array columns whose percentiles are asked for: table, column, width, and the day a row belongs to.
+WIDE = (
+    ("umr_release", "features", RECORD_WIDTH, "ingested_at"), ("norm_stats", "packed_clip_p01", RECORD_WIDTH, "stat_day"),
+    ("norm_stats", "packed_clip_p99", RECORD_WIDTH, "stat_day"), ("feature_fields", "root_traj", 9, "recorded_at"),
+)
 
 
-def _digests(spark, sf_dir, by, fields):
-    """Digests of several fields in one table, the field a key."""
-    out = None
-    for name, column, width in fields:
-        df = table(spark, sf_dir, name).withColumn("field", F.lit(column))
-        one = quantiles.digests(df, column, width, ["field", *by])
-        out = one if out is None else out.unionByName(one)
-    return out
+def _fields(spark, sf_dir):
+    """(field, column, width, rows with source and day) of each array column."""
+    for name, column, width, day in WIDE:
+        yield column, width, table(spark, sf_dir, name).select(F.lit(column).alias("field"), "source", F.to_date(day).alias("day"), column)
+
+
+def _digests(spark, sf_dir, by):
+    """One digest of each field and key, all fields in one table."""
+    raw, parts = None, 1
+    for column, width, rows in _fields(spark, sf_dir):
+        one, n = quantiles.partials(rows, column, width, ["field", *by])
+        raw, parts = one if raw is None else raw.unionByName(one), max(parts, n)
+    return quantiles.tree(raw, parts, ["field", *by])
 
 
 def p2_percentiles(spark, sf_dir):
     """Percentiles of every source and dimension of all fields."""
-    by = ["field", "source"]
-    return quantiles.read(quantiles.merged(_digests(spark, sf_dir, ["source"], WIDE), by), by)
+    return quantiles.read(_digests(spark, sf_dir, ["source"]), ["field", "source"])
 
 
 def p2_days(spark, sf_dir):
-    """Percentiles of the normalisation statistics of every source and day."""
-    by = ["field", "source", "stat_day"]
-    return quantiles.read(quantiles.merged(_digests(spark, sf_dir, ["source", "stat_day"], WIDE[1:3]), by), by)
+    """Percentiles of every source, day and dimension of all fields."""
+    return quantiles.read(_digests(spark, sf_dir, ["source", "day"]), ["field", "source", "day"])
 
 
 def p2_from_days(spark, sf_dir):
-    """Percentiles per source, combined from the digests of single days."""
-    by = ["field", "source"]
-    days = quantiles.merged(_digests(spark, sf_dir, ["source", "stat_day"], WIDE[1:3]), [*by, "stat_day"])
-    return quantiles.read(quantiles.merged(days.drop("stat_day"), by), by)
+    """Percentiles per source and dimension, combined from the digests of single days."""
+    days = _digests(spark, sf_dir, ["source", "day"])
+    day = F.datediff(F.coalesce("day", F.lit("1969-12-31")), F.lit("1970-01-01"))
+    most = 1 << 16  # days, from 1970 on, numbered so that many of them are added in a tree
+    return quantiles.read(quantiles.tree(days.select("field", "source", "block", "nodes", "counts", F.pmod(day, F.lit(most)).alias("part")), most, ["field", "source"]), ["field", "source"])
+
+
+def p2_rank_error(spark, sf_dir):
+    """Values of every field, source and dimension, and whether every answer lies within the stated rank error."""
+    values = None
+    for column, width, rows in _fields(spark, sf_dir):
+        one = rows.where(f"size({column}) % {width} = 0").select("field", "source", F.posexplode(column).alias("i", "x")).select("field", "source", (F.col("i") % width).alias("dim"), F.col("x").cast("double").alias("x"))
+        values = one if values is None else values.unionByName(one)
+    values = values.where("x is not null and not isnan(x) and abs(x) < double('inf')")
+    e = quantiles.rank_errors(values, materialize(p2_percentiles(spark, sf_dir)), ["field", "source"])
+    return e.select("field", "source", "dim", "n", (F.col("worst") <= quantiles.ERROR).alias("within"))
 
 
 def p3_pieces(spark, sf_dir):
@@ -89,8 +107,10 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p3_found, p3_pieces, p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+_VALUES = " union all ".join(f"select '{column}' as field, source, cast((i - 1) % {width} as int) as dim, x::double as x from (select source, unnest({column}) as x, generate_subscripts({column}, 1) as i from {name} where len({column}) % {width} = 0)" for name, column, width, _ in WIDE)
 SQL = {
+    "p2_rank_error": f"select field, source, dim, count(*) as n, true as within from ({_VALUES}) where isfinite(x) group by field, source, dim",
     "p3_found": """
 with plans as (select clip_id, num_frames, row_number() over (partition by clip_id order by planned_at desc, num_frames desc) as k
                from clip_plans where error is null and clip_id is not null)

@@ -86,3 +86,34 @@ def test_columns_with_every_kind_of_dirt(spark):
             xs = np.sort(xs)
             assert got[key].n == len(xs) and got[key].p50 == pytest.approx(xs[int(np.ceil(len(xs) / 2)) - 1], abs=3e-4)
     assert Q.column_percentiles(df.limit(0), "v", 3, ["source"]).count() == 0
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 5 * Q.BLOCK, 4000) << Q._NODE | rng.integers(1, 1 << Q._NODE, 4000))
+    counts = rng.integers(1, 1 << 46, len(keys))
+    for block, nodes, n in Q._packed(keys, counts):
+        batch = Q.pa.RecordBatch.from_arrays([nodes, n], ["nodes", "counts"])
+        k, c = Q._nodes(batch, block)
+        assert (k == keys).all() and (c == counts).all()
+        part = [Q._nodes(some, block[:1] + at) for at, some in enumerate(batch.slice(i, 1) for i in range(len(batch)))]
+        assert (np.concatenate([x[0] for x in part]) == keys).all()
+    none = Q.pa.RecordBatch.from_arrays([Q.pa.array([], Q.pa.binary())] * 2, ["nodes", "counts"])
+    assert len(Q._nodes(none, np.empty(0, np.int64))[0]) == 0
+
+
+def test_tree_of_many_partitions_keeps_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FAN", 3)
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 5 else "a", [float(v) for v in rng.normal(size=600)], k) for k in range(200)]
+    df = spark.createDataFrame(rows, "source string, v array<double>, part int").repartition(29)
+    raw, parts = Q.partials(df, "v", 3, ["source"])
+    assert parts == 29
+    got = Q.read(Q.tree(raw, parts, ["source"]), ["source"])
+    values = df.select("source", Q.F.posexplode("v").alias("i", "x")).select("source", (Q.F.col("i") % 3).alias("dim"), "x")
+    for most in (1, 1000):
+        worst = Q.rank_errors(values, got, ["source"], most=most).collect()
+        assert sorted((str(r.source), r.dim, r.n) for r in worst) == sorted((s, d, n) for s, n in (("None", 32000), ("a", 8000)) for d in range(3))
+        assert all(r.worst <= Q.ERROR for r in worst)
+    wrong = got.withColumn("p50", Q.F.col("p50") + 1)
+    assert all(r.worst > 0.2 for r in Q.rank_errors(values, wrong, ["source"]).collect())
