@@ -268,16 +268,17 @@ def digests(df: DataFrame, column: str, width: int, by: list[str]) -> DataFrame:
     return tree(*partials(df, column, width, by), by)
 
 
-def tree(raw: DataFrame, parts: int, by: list[str]) -> DataFrame:
-    """Digests of ``parts`` partitions, numbered by ``part``, added into one of each key."""
+def tree(raw: DataFrame, parts: int, by: list[str], percents=None) -> DataFrame:
+    """Digests of ``parts`` partitions, numbered by ``part``, added into one of each key; with
+    ``percents``, read at once."""
     while parts > FAN:
         raw, parts = merged(raw, by, F.expr(f"part div {FAN}")), -(-parts // FAN)
-    return merged(raw, by)
+    return merged(raw, by, percents=percents)
 
 
-def merged(digest: DataFrame, by: list[str], part=None) -> DataFrame:
+def merged(digest: DataFrame, by: list[str], part=None, percents=None) -> DataFrame:
     """Digests of equal keys (and ``part``) added into one: keys in order, many small ones at
-    a time, a large one batch by batch."""
+    a time, a large one batch by batch.  With ``percents``, what ``read`` makes of them."""
     keys, kept = [*by, "block"], ""
     if part is not None:
         digest = digest.withColumn("part", part.cast("int"))
@@ -295,7 +296,9 @@ def merged(digest: DataFrame, by: list[str], part=None) -> DataFrame:
                 cut = int(np.searchsorted(k, ((len(held) - 1) * BLOCK) << _NODE))
                 rest, keep = (k[cut:] - (((len(held) - 1) * BLOCK) << _NODE), c[cut:]), held[-1:]
                 k, c = k[:cut], c[:cut]
-            for group, nodes, counts in _packed(k, c):
+            if percents:
+                yield _answers(k, c, percents, lambda row: [pa.array([held[g][i] for g in row.tolist()], kind) for i, kind in enumerate(kinds)], np.array([h[len(by)] for h in held], np.int64), by)
+            for group, nodes, counts in _packed(k, c) if not percents else ():
                 own = [held[g] for g in group.tolist()]
                 head = [pa.array([o[i] for o in own], kind) for i, kind in enumerate(kinds)]
                 tail = [pa.array([o[-1] for o in own], pa.int32())] if kept else []
@@ -317,25 +320,30 @@ def merged(digest: DataFrame, by: list[str], part=None) -> DataFrame:
         if held:
             yield from done(kinds, False)
 
-    schema = _schema(digest, by) + kept
+    schema = _schema(digest, by) + kept if not percents else _answer_schema(digest, by, percents)
     return digest.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "nodes", "counts").mapInArrow(combine, schema)
 
 
+def _answer_schema(digest: DataFrame, by: list[str], percents) -> str:
+    return _schema(digest, by).split("block int")[0] + "dim int, n long, " + ", ".join(f"p{p:02d} double" for p in percents)
+
+
+def _answers(keys, counts, percents, head, block: np.ndarray, by: list[str]) -> pa.RecordBatch:
+    """Percentiles of nodes whose dimensions are numbered by row; ``head`` makes the keys of rows."""
+    dims, n, values = percentiles(keys, counts, percents)
+    row = dims // BLOCK
+    return pa.RecordBatch.from_arrays([*head(row), pa.array(block[row] * BLOCK + dims % BLOCK, pa.int32()), pa.array(n), *(pa.array(v) for v in values.T)], [*by, "dim", "n", *(f"p{p:02d}" for p in percents)])
+
+
 def read(digest: DataFrame, by: list[str], percents=PERCENTS) -> DataFrame:
     """(``by``, dim, n, p..): the percentiles of merged digests."""
-    names = [f"p{p:02d}" for p in percents]
 
     def work(batches):
         for batch in batches:
             for some in _portions(batch):
-                dims, n, values = percentiles(*_nodes(some, np.arange(len(some))), percents)
-                row = dims // BLOCK
-                head = some.select(by).take(pa.array(row))
-                block = some.column("block").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(block * BLOCK + dims % BLOCK, pa.int32()), pa.array(n), *(pa.array(v) for v in values.T)], [*by, "dim", "n", *names])
+                yield _answers(*_nodes(some, np.arange(len(some))), percents, lambda row: some.select(by).take(pa.array(row)).columns, some.column("block").to_numpy(), by)
 
-    head = _schema(digest, by).split("block int")[0]
-    return digest.select(*by, "block", "nodes", "counts").mapInArrow(work, f"{head}dim int, n long, " + ", ".join(f"{p} double" for p in names))
+    return digest.select(*by, "block", "nodes", "counts").mapInArrow(work, _answer_schema(digest, by, percents))
 
 
 def rank_errors(values: DataFrame, answers: DataFrame, by: list[str], percents=PERCENTS, most: int = 1 << 17) -> DataFrame:
@@ -364,4 +372,4 @@ def rank_errors(values: DataFrame, answers: DataFrame, by: list[str], percents=P
 
 def column_percentiles(df: DataFrame, column: str, width: int, by: list[str], percents=PERCENTS) -> DataFrame:
     """Percentiles of every dimension of an array column, per key."""
-    return read(digests(df, column, width, by), by, percents)
+    return tree(*partials(df, column, width, by), by, percents)

@@ -22,23 +22,23 @@ def _fields(spark, sf_dir):
         yield column, width, table(spark, sf_dir, name).select(F.lit(column).alias("field"), "source", F.to_date(day).alias("day"), column)
 
 
-def _digests(spark, sf_dir, by):
-    """One digest of each field and key, all fields in one table."""
+def _digests(spark, sf_dir, by, percents=None):
+    """One digest of each field and key, all fields in one table; with ``percents``, read."""
     raw, parts = None, 1
     for column, width, rows in _fields(spark, sf_dir):
         one, n = quantiles.partials(rows, column, width, ["field", *by])
         raw, parts = one if raw is None else raw.unionByName(one), max(parts, n)
-    return quantiles.tree(raw, parts, ["field", *by])
+    return quantiles.tree(raw, parts, ["field", *by], percents)
 
 
 def p2_percentiles(spark, sf_dir):
     """Percentiles of every source and dimension of all fields."""
-    return quantiles.read(_digests(spark, sf_dir, ["source"]), ["field", "source"])
+    return _digests(spark, sf_dir, ["source"], quantiles.PERCENTS)
 
 
 def p2_days(spark, sf_dir):
     """Percentiles of every source, day and dimension of all fields."""
-    return quantiles.read(_digests(spark, sf_dir, ["source", "day"]), ["field", "source", "day"])
+    return _digests(spark, sf_dir, ["source", "day"], quantiles.PERCENTS)
 
 
 def p2_from_days(spark, sf_dir):
@@ -46,7 +46,7 @@ def p2_from_days(spark, sf_dir):
     days = _digests(spark, sf_dir, ["source", "day"])
     day = F.datediff(F.coalesce("day", F.lit("1969-12-31")), F.lit("1970-01-01"))
     most = 1 << 16  # days, from 1970 on, numbered so that many of them are added in a tree
-    return quantiles.read(quantiles.tree(days.select("field", "source", "block", "nodes", "counts", F.pmod(day, F.lit(most)).alias("part")), most, ["field", "source"]), ["field", "source"])
+    return quantiles.tree(days.select("field", "source", "block", "nodes", "counts", F.pmod(day, F.lit(most)).alias("part")), most, ["field", "source"], quantiles.PERCENTS)
 
 
 def p2_rank_error(spark, sf_dir):
