@@ -6,8 +6,9 @@ histograms of its details and runs.  The histograms add up to each source's ordi
 detail and run length, by which the excursions and runs are then judged.
 
 Null and NaN readings are missing and never reported; rows without an id, or without a
-reading number, cannot be named and are left out; second deliveries of a reading count
-once.  An empty table gives no rows.  Extra columns are ignored.
+reading number, cannot be named and are left out; of several deliveries of a reading the
+latest counts.  An excursion at either end of a recording has one edge and is judged by it;
+in two readings alone none is told.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ RATIO = 16.0  #: an excursion is this many times the median nonzero change of it
 RUN_RISK = 5e-7  #: chance of a run that long under the source's ordinary repeats
 FLOOR, CEILING = -0.5, 4.0  #: bounds of a height over the floor, metres
 ROTATION = 1.5  #: bound of a rotation entry
-FEW = 50  #: with fewer changes than this, the change usual over all sources holds
-CHUNK, HALO = 4096, 256  #: readings of a series in one task, and shared with either neighbour
+FEW = 50  #: changes of all sources that a source's own are mixed with; repeats that tell how they go on
+TAIL = 0.05  #: share of a source's runs that counts as its ordinary long ones
+CHUNK, HALO = 4096, 1024  #: readings of a series in one task, and shared with either neighbour
 
 SCHEMA = (
     "field string, rec_id string, source string, "
@@ -38,7 +40,7 @@ SCHEMA = (
     "mg array<int>, lo array<double>, hi array<double>, "  # stretches: least and largest reading of each group
     "pt array<int>, "  # impossible readings
     "hk array<int>, hn array<int>, "  # detail histogram: group * 1024 + bin
-    "lk array<int>, ln array<int>"  # run histogram: group * 64 + length
+    "lk array<int>, ln array<int>"  # run histogram: group * 1024 + length
 )
 
 
@@ -130,7 +132,7 @@ def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray, part: boo
                     still[k].append(b)
             continue
         length = ends - starts
-        lengths.append(np.minimum(length[core[rows[starts]]], wavelet.RUN_CAP) + g * 64)
+        lengths.append(np.minimum(length[core[rows[starts]]], wavelet.RUN_CAP) + g * 1024)
         for k in np.flatnonzero(length >= wavelet.SHORTEST_RUN):
             inside = rows[starts[k] : ends[k]]
             inside = inside[core[inside]]
@@ -178,13 +180,14 @@ def scan_clips(clips: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     return clips.where("rec_id is not null").select("rec_id", "source", *(f.name for f in fields)).mapInArrow(work, SCHEMA)
 
 
-def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
+def scan_readings(readings: DataFrame, field: Field, order: str = "ingested_at") -> DataFrame:
     """Scan readings kept one per row.
 
-    Deliveries of one reading are combined first, before the shuffle where they meet; where
-    they differ, the largest present value of each dimension counts.  A task then has a stretch of ``CHUNK`` readings of a
-    recording and sees ``HALO`` more on either side, so that neither a long recording nor
-    many copies make a long task, and no run or excursion is lost at a border.
+    Of the deliveries of one reading the latest by ``order`` counts, as a whole (of those at
+    the same time, the one with the larger hash); they are combined before the shuffle where
+    they meet.  A task then has a stretch of ``CHUNK`` readings of a recording and sees
+    ``HALO`` more on either side, so that neither a long recording nor many copies make a long
+    task, and no excursion, and no run of up to ``HALO`` readings, is lost at a border.
     """
     dims = [f"_v{d}" for d in range(field.width)]
 
@@ -202,13 +205,19 @@ def scan_readings(readings: DataFrame, field: Field) -> DataFrame:
     fits = F.size(field.name) == field.width
     each = [F.get(field.name, F.lit(d)).cast("float") for d in range(field.width)]
     values = [F.when(fits & ~F.isnan(v), v).alias(name) for v, name in zip(each, dims)]
-    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", *values)
-    once = rows.groupBy("rec_id", "source", "t").agg(*(F.max(d).alias(d) for d in dims))
+    # one number that orders deliveries keeps this a hash aggregate; all dimensions follow it alike
+    when = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-1)) * 4096 + F.pmod(F.xxhash64(field.name), F.lit(4096))
+    rows = readings.where("rec_id is not null and t >= 0").select("rec_id", "source", "t", when.alias("_when"), *values)
+    once = rows.groupBy("rec_id", "source", "t").agg(*(F.max_by(d, "_when").alias(d) for d in dims))
     return once.select("*", spread).groupBy("rec_id", "source", "_chunk").applyInArrow(work, SCHEMA)
 
 
 def usual_change(scanned: DataFrame) -> DataFrame:
-    """Median nonzero change of each source, field and group: (field, source, g, usual)."""
+    """Median nonzero change of each source, field and group: (field, source, g, usual).
+
+    It is mixed with the median over all sources, as if ``FEW`` changes spoke for that: what a
+    source has delivered little of is judged by the others, and less so with every change.
+    """
     cells = (
         scanned.select("field", "source", F.explode(F.arrays_zip("hk", "hn")).alias("c"))
         .groupBy("field", "source", (F.expr("c.hk div 1024").cast("int")).alias("g"), F.expr("c.hk % 1024").alias("b"))
@@ -225,7 +234,8 @@ def usual_change(scanned: DataFrame) -> DataFrame:
     found = both.groupBy("pool", "field", "source", "g").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("c"), F.sum("n").alias("total"))
     found = found.select("pool", "field", "source", "g", "total", F.pow(F.lit(2.0), (median - wavelet.BIN_SHIFT + 0.5) / wavelet.BINS).alias("usual"))
     pooled = found.where("pool").select("field", "g", F.col("usual").alias("usual_all"))
-    return found.where("not pool").join(pooled, ["field", "g"]).select("field", "source", "g", F.when(F.col("total") >= FEW, F.col("usual")).otherwise(F.col("usual_all")).alias("usual"))
+    mixed = F.exp((F.col("total") * F.ln("usual") + FEW * F.ln("usual_all")) / (F.col("total") + FEW))
+    return found.where("not pool").join(pooled, ["field", "g"]).select("field", "source", "g", mixed.alias("usual"))
 
 
 def moving_stills(scanned: DataFrame) -> DataFrame:
@@ -239,13 +249,27 @@ def moving_stills(scanned: DataFrame) -> DataFrame:
 
 
 def usual_run(scanned: DataFrame, stills: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
-    """Run length beyond which a source, field and group counts as stuck."""
-    cells = scanned.select("field", "source", F.explode(F.arrays_zip("lk", "ln")).alias("c")).select("field", "source", F.expr("cast(c.lk div 64 as int)").alias("g"), F.expr("c.lk % 64").alias("l"), F.col("c.ln").alias("n"))
-    cells = cells.unionByName(stills.where("core").select("field", "source", "g", "l", F.lit(1).alias("n")))
-    per = cells.groupBy("field", "source", "g").agg(*(F.sum(F.when(F.col("l") >= k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)))
-    p = F.greatest((F.col("n2") + 0.5) / (F.col("n1") + 1.0), F.when(F.col("n2") >= FEW, F.col("n3") / F.col("n2")).otherwise(0.0))
+    """Run length beyond which a source, field and group counts as stuck.
+
+    How likely a reading ordinarily repeats is read from the longest ``TAIL`` of the runs, and
+    from how many runs of two and three readings there are for each of one and two; stuck runs
+    are few and long, so neither follows them.
+    """
+    cells = scanned.select("field", "source", F.explode(F.arrays_zip("lk", "ln")).alias("c")).select("field", "source", F.expr("cast(c.lk div 1024 as int)").alias("g"), F.expr("cast(c.lk % 1024 as int)").alias("l"), F.col("c.ln").cast("long").alias("n"))
+    cells = cells.unionByName(stills.where("core").select("field", "source", "g", F.least("l", F.lit(wavelet.RUN_CAP)).alias("l"), F.lit(1).cast("long").alias("n")))
+    per = cells.groupBy("field", "source", "g", "l").agg(F.sum("n").alias("n")).groupBy("field", "source", "g").agg(
+        F.sort_array(F.collect_list(F.struct("l", "n"))).alias("c"), F.sum("n").alias("total"), *(F.sum(F.when(F.col("l") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3))
+    )  # at most RUN_CAP lengths
+    tail = F.expr(f"aggregate(c, named_struct('seen', 0L, 'l', -1), (a, x) -> if(a.l < 0, named_struct('seen', a.seen + x.n, 'l', if((a.seen + x.n) >= total * {1 - TAIL}, x.l, -1)), a))")
+    per = per.select("field", "source", "g", "total", "n1", "n2", "n3", tail.alias("tail"))
+    longest = F.pow((F.col("total") - F.col("tail.seen") + 0.5) / (F.col("total") + 1.0), 1.0 / F.col("tail.l"))
+
+    def ratio(a, b, least):
+        return F.when((F.col(b) >= least) & (F.col(a) < F.col(b)), F.col(a) / F.col(b)).otherwise(0.0)
+
+    p = F.greatest(longest, ratio("n2", "n1", FEW), ratio("n3", "n2", FEW))
     least = F.create_map(*(x for f in fields for x in (F.lit(f.name), F.lit(float(f.longest)))))
-    return per.select("field", "source", "g", F.greatest(least[F.col("field")], 1 + F.ceil(F.log(F.lit(RUN_RISK)) / F.log(F.least(p, F.lit(0.9))))).alias("most"))
+    return per.select("field", "source", "g", F.greatest(least[F.col("field")], 1 + F.ceil(F.log(F.lit(RUN_RISK)) / F.log(p))).alias("most"))
 
 
 def implausible(scanned: DataFrame, fields: tuple[Field, ...]) -> DataFrame:

@@ -83,6 +83,65 @@ def test_constant_dimension_and_coarse_source(spark):
     assert not {r for r in found(spark, data) if r[0] == "still"}
 
 
+def test_either_end_short_series_and_neighbouring_spikes(spark):
+    rng = np.random.default_rng(5)
+    ends, pair, near = (recording(rng, 200) for _ in range(3))
+    ends[0, 2] += 2.0
+    ends[198:, 6] -= 2.0
+    pair[50, 0] += 2.0
+    pair[51, 0] -= 2.0
+    near[70, 1] += 2.0
+    near[72, 1] += 2.0
+    data = [r for name, x in (("ends", ends), ("pair", pair), ("near", near)) for r in rows(name, x)]
+    for n in (1, 2, 3):
+        x = recording(rng, n)
+        x[n // 2, 3] += 5.0
+        data += rows(f"short{n}", x)
+    want = {("ends", 0), ("ends", 198), ("ends", 199), ("pair", 50), ("pair", 51), ("near", 70), ("near", 72), ("short3", 1)}
+    assert found(spark, data) == want
+
+
+def test_runs_of_a_source_that_mostly_repeats(spark):
+    rng = np.random.default_rng(6)
+    data = []
+    for k in range(4):
+        x = recording(rng, 2000)
+        keep = rng.random((2000, 9)) < 0.95
+        for t in range(1, 2000):
+            x[t, keep[t]] = x[t - 1, keep[t]]
+        if k == 3:
+            x[500:1200, 2] = x[500, 2]
+        data += rows(f"r{k}", x, "slow")
+    got = found(spark, data)
+    assert {("r3", t) for t in range(500, 1200)} <= got and {r for r, t in got} == {"r3"} and len(got) < 800
+
+
+def test_many_stuck_runs_do_not_become_usual(spark):
+    rng = np.random.default_rng(7)
+    data, want = [], set()
+    for k in range(3):
+        x = recording(rng, 2000)
+        for t in range(20, 1900, 90):
+            x[t : t + 20, 4] = x[t, 4]
+            want |= {(f"r{k}", u) for u in range(t, t + 20)}
+        data += rows(f"r{k}", x)
+    assert found(spark, data) == want
+
+
+def test_latest_delivery_counts_as_a_whole(spark):
+    from datetime import datetime
+
+    rng = np.random.default_rng(8)
+    x = recording(rng)
+    late, early = datetime(2024, 5, 2), datetime(2024, 5, 1)
+    data = [(k, "r", "s", k, [float(v) for v in r], early, "") for k, r in enumerate(x)]
+    wrong, gone = list(x[40]), list(x[60])
+    wrong[3], gone[3] = 9.0, None
+    data += [(500, "r", "s", 40, [float(v) for v in wrong], late, ""), (501, "r", "s", 60, [float(v) + 9.0 for v in x[60]], datetime(2024, 4, 1), "")]
+    data += [(502, "r", "s", 80, [float(v) + 9.0 for v in x[80]], early, ""), (503, "r", "s", 80, [None] * 9, late, "")]
+    assert found(spark, data) == {("r", 40)}
+
+
 def test_whole_readings_and_empty_tables(spark):
     rng = np.random.default_rng(3)
     feats = rng.normal(size=(40, 499)).cumsum(axis=0) * 0.001 + rng.normal(size=(40, 499)) * 0.003
