@@ -87,15 +87,18 @@ def scan(field: Field, x: np.ndarray, t: np.ndarray, core: np.ndarray, part: boo
     n, group = len(x), np.array(field.group)
     groups = int(group.max()) + 1
     y, missing = wavelet.fill(x.astype(np.float64))
-    bad = np.isinf(x).any(axis=1)
+    odd = np.isinf(x)
     with np.errstate(invalid="ignore"):
         h = x[:, field.heights]
-        bad |= ((h < FLOOR) | (h > CEILING)).any(axis=1)
+        odd[:, field.heights] |= (h < FLOOR) | (h > CEILING)
         if field.rotations:
-            bad |= (np.abs(x[:, field.rotations]) > ROTATION).any(axis=1)
+            odd[:, field.rotations] |= np.abs(x[:, field.rotations]) > ROTATION
+    bad = odd.any(axis=1)
     out = {"pt": t[bad & core].tolist()}
 
-    high = np.where(missing, 0.0, wavelet.excursions(y))
+    # impossible readings are reported as such, and are no level to leave
+    level, absent = (y, missing) if not bad.any() else wavelet.fill(np.where(odd, np.nan, x.astype(np.float64)))
+    high = np.where(absent, 0.0, wavelet.excursions(level))
     step = np.abs(np.diff(y, axis=0))
     step[missing[1:] | ~core[1:, None]] = 0.0
     xg, xt, xh, keys = [], [], [], []
