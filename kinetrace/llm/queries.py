@@ -76,8 +76,18 @@ def p4_found(spark, sf_dir):
     return splits.pairs_of_rows(splits.overlaps(table(spark, sf_dir, "umr_release"), materialize))
 
 
+def p4_links(spark, sf_dir):
+    """Every evaluation row that occurs in training, its class by each test, and how many training rows it is linked to."""
+    return splits.links_of_rows(splits.overlaps(table(spark, sf_dir, "umr_release"), materialize))
+
+
+def p4_ids(spark, sf_dir):
+    """Pairs by the id alone."""
+    return splits.pairs_of_rows([splits.id_overlap(splits.sides(table(spark, sf_dir, "umr_release")))])
+
+
 def p4_report(spark, sf_dir):
-    """Overlaps per evaluation split and source."""
+    """Overlaps per test, evaluation split and source."""
     umr = table(spark, sf_dir, "umr_release")
     return splits.report(splits.overlaps(umr, materialize), umr)
 
@@ -107,9 +117,14 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p4_found, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p4_found, p4_links, p4_ids, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
 _VALUES = " union all ".join(f"select '{column}' as field, source, cast((i - 1) % {width} as int) as dim, x::double as x from (select source, unnest({column}) as x, generate_subscripts({column}, 1) as i from {name} where len({column}) % {width} = 0)" for name, column, width, _ in WIDE)
 SQL = {
+    "p4_ids": """
+with k as (select row_id, lower(trim(split)) = 'train' as train, regexp_replace(regexp_replace(lower(trim(rec_id)), '[^a-z0-9]+(?:r|rev|revision|v|ver|version)[^a-z0-9]*[0-9]+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g') as key
+           from umr_release where lower(trim(split)) in ('train', 'val', 'test') and row_id is not null and rec_id is not null)
+select distinct least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b from k a join k b on a.key = b.key where a.train and not b.train and a.key <> ''
+""",
     "p2_rank_error": f"select field, source, dim, count(*) as n, true as within from ({_VALUES}) where isfinite(x) group by field, source, dim",
     "p3_found": """
 with plans as (select clip_id, num_frames, row_number() over (partition by clip_id order by planned_at desc, num_frames desc) as k

@@ -4,12 +4,19 @@ Three tests name a pair: the same id but for writing and revision mark, near-equ
 captions, near-equal motion.  The last two work alike: rows with equal content form a
 class; each class has a MinHash signature of its shingles, cut into bands; only classes
 that share a band and lie on different sides of the split are compared, by their exact
-Jaccard similarity, short captions also by the number of changed words; confirmed class pairs are expanded to rows at the very end.
+Jaccard similarity, short captions also by the number of changed words.  What comes out
+are classes, their rows, and links between classes; rows are paired only where pairs of
+rows are asked for, and counted from the sizes of the classes.
 
 A caption's shingles are runs of three normalised words.  A motion's shingles are its
 records, told apart by a few dimensions on a coarse grid; every hash function has dimensions
 and a grid offset of its own, so that small differences move a record across a grid line
-in some functions only.  Compared are then whole records.
+in some functions only.  Compared are then whole records: as many as can be paired in order,
+of all records of either.
+
+A band that very many training classes share is cut into parts, each of which meets all
+evaluation classes of the band: no pair is lost, and no task grows with the band.  Motions
+whose lengths alone rule out the similarity never meet.
 
 Null, empty and short captions, null or ragged motions, null ids and rows in no known
 split match nothing by that test.  Repeated rows are rows of their own.
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +43,10 @@ SHORT = 28  #: words; below 26 on a side, so many changes leave too few shingles
 MOTION_BANDS, MOTION_ROWS, MOTION_JACCARD = 48, 2, 0.7
 MOTION_DIMS, GRID = 8, 0.08  #: dimensions and cell of one hash function of motions
 NEAR = 0.012  #: difference within which two values of a motion are the same
-ALIKE, ROUGHLY = 0.97, 0.9  #: share of values alike in the same record; in the first look
-LOOK = 24  #: dimensions of the first look
-BLOOM = 1 << 17  #: words of 63 bits in the filter of candidate rows: 2 MB at any scale
+ALIKE = 0.97  #: share of values alike in the same record
+LOOK = 48  #: dimensions looked at first; all values that may differ could lie among them
+HOT = 1024  #: training classes of a band that one task meets
+BLOOM, BLOOM_BITS = 1 << 17, 3  #: words of 63 bits in the filter of candidate rows, 2 MB at any scale; bits a row sets
 SEED = 7
 
 _rng = np.random.default_rng(SEED)
@@ -125,23 +134,40 @@ def motion_signature(x: np.ndarray) -> list[int]:
     return [key for key, all_told in zip(_bands(token.min(axis=0), MOTION_ROWS), told) if all_told]
 
 
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return (np.abs(x - y) <= NEAR) | (x == y) | (np.isnan(x) & np.isnan(y))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which records of ``a`` are the same as which of ``b``."""
+    least = int(np.ceil(ALIKE * WIDTH - 1e-9))
+    out = np.zeros((len(a), len(b)), bool)
+    rows = max(1, (1 << 21) // (LOOK * max(1, len(b))))
+    for at in range(0, len(a), rows):
+        i, j = np.nonzero(_close(a[at : at + rows, None, _LOOK], b[None, :, _LOOK]).sum(axis=2) >= LOOK - (WIDTH - least))
+        for k in range(0, len(i), 4096):
+            x, y = i[k : k + 4096], j[k : k + 4096]
+            out[x + at, y] = _close(a[x + at], b[y]).sum(axis=1) >= least
+    return out
+
+
 def matched(a: np.ndarray, b: np.ndarray) -> int:
-    """Records of ``a`` that are, in order, records of ``b``."""
+    """Most records of ``a`` and ``b`` that can be paired, each with the same record, in order."""
+    same = alike(a, b)
+    best = np.zeros(len(b) + 1, np.int32)
+    for row in same:  # longest common subsequence, a row at a time
+        if row.any():
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
+    return int(best[-1])
 
-    def alike(x, y):
-        with np.errstate(invalid="ignore"):
-            return (np.abs(x - y) <= NEAR) | (x == y) | (np.isnan(x) & np.isnan(y))
 
-    n, at = 0, 0
-    for i in range(len(a)):
-        rest = b[at:]
-        if not len(rest):
-            break
-        for j in np.flatnonzero(alike(a[i, _LOOK], rest[:, _LOOK]).mean(axis=1) >= ROUGHLY):
-            if alike(a[i], rest[j]).mean() >= ALIKE:
-                n, at = n + 1, at + int(j) + 1
-                break
-    return n
+def same_motion(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of the records, counted exactly."""
+    if min(len(a), len(b)) < MOTION_JACCARD * max(len(a), len(b)):
+        return False
+    m = matched(a, b)
+    return m >= MOTION_JACCARD * (len(a) + len(b) - m)
 
 
 def sides(umr: DataFrame) -> DataFrame:
@@ -157,11 +183,24 @@ def id_key(rec_id: str = "rec_id"):
     return F.when(key != "", key)
 
 
-def _join_sides(rows: DataFrame, key: str) -> DataFrame:
-    """(t, e): training and evaluation rows of equal key."""
-    t = rows.where("_train").select(key, F.col("row_id").alias("t"))
-    e = rows.where("not _train").select(key, F.col("row_id").alias("e"))
-    return t.join(e, key).select("t", "e")
+@dataclass(frozen=True)
+class Overlap:
+    """Classes of rows that one test takes for the same, and pairs of different classes it takes for nearly so."""
+
+    kind: str
+    members: DataFrame  #: (cls, row_id, _train)
+    links: DataFrame | None  #: (ct, ce): a class with training rows, one with evaluation rows
+
+    def linked(self) -> DataFrame:
+        """(ct, ce), classes on both sides linked to themselves."""
+        own = self.members.groupBy("cls").agg(F.max("_train").alias("t"), F.max(~F.col("_train")).alias("e")).where("t and e").select(F.col("cls").alias("ct"), F.col("cls").alias("ce"))
+        return own if self.links is None else own.unionByName(self.links)
+
+    def row_pairs(self) -> DataFrame:
+        """(t, e): every training row and evaluation row of linked classes."""
+        t = self.members.where("_train").select(F.col("cls").alias("ct"), F.col("row_id").alias("t"))
+        e = self.members.where("not _train").select(F.col("cls").alias("ce"), F.col("row_id").alias("e"))
+        return self.linked().join(t, "ct").join(e, "ce").select("t", "e")
 
 
 def _classes(signed: DataFrame, *keep: str) -> DataFrame:
@@ -169,22 +208,27 @@ def _classes(signed: DataFrame, *keep: str) -> DataFrame:
     return signed.groupBy("cls").agg(*(F.first(k).alias(k) for k in keep), F.min("row_id").alias("rep"), F.max("_train").alias("on_train"), F.max(~F.col("_train")).alias("on_eval"))
 
 
-def _candidates(classes: DataFrame, train: str = "bands", other: str = "bands") -> DataFrame:
-    """(ct, ce): different classes of different sides that share a band."""
-    t = classes.where("on_train").select(F.col("cls").alias("ct"), F.explode(train).alias("band"))
-    e = classes.where("on_eval").select(F.col("cls").alias("ce"), F.explode(other).alias("band"))
-    return t.join(e, "band").where("ct != ce").select("ct", "ce").distinct()
+def _candidates(classes: DataFrame, train: str = "bands", other: str = "bands", size: str | None = None, ratio: float = 0.5) -> DataFrame:
+    """(ct, ce): different classes of different sides that share a band.
 
+    With ``size``, only classes of which the smaller has at least about ``ratio`` of the
+    larger's size meet: none that fulfils it is left out.
+    """
+    step = F.floor(F.ln(F.col(size)) / F.lit(np.log(1 / ratio))).cast("int") if size else F.lit(0)
+    t = classes.where("on_train").select(F.col("cls").alias("ct"), step.alias("step"), F.explode(train).alias("band"))
+    e = classes.where("on_eval").select(F.col("cls").alias("ce"), step.alias("step"), F.explode(other).alias("band"))
+    if size:
+        e = e.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    key = ["band", "step"]
+    hot = t.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*key, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    t = t.join(hot, key, "left").select("ct", *key, F.pmod(F.xxhash64("ct"), parts).cast("int").alias("part"))
+    e = e.join(hot, key, "left").select("ce", *key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return t.join(e, [*key, "part"]).where("ct != ce").select("ct", "ce").distinct()
 
-def _expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Row pairs of confirmed class pairs, and of classes on both sides."""
-    t = members.where("_train").select(F.col("cls").alias("ct"), F.col("row_id").alias("t"))
-    e = members.where("not _train").select(F.col("cls").alias("ce"), F.col("row_id").alias("e"))
-    return pairs.join(t, "ct").join(e, "ce").select("t", "e").unionByName(_join_sides(members, "cls"))
 
-
-def caption_pairs(rows: DataFrame) -> DataFrame:
-    """(t, e) of rows with near-equal captions of at least ``LEAST_WORDS`` words."""
+def caption_overlap(rows: DataFrame) -> Overlap:
+    """Near-equal captions of at least ``LEAST_WORDS`` words."""
 
     def work(batches):
         for batch in batches:
@@ -200,8 +244,7 @@ def caption_pairs(rows: DataFrame) -> DataFrame:
                 i64 = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_id", pa.int64()), ("_train", pa.bool_()), ("cls", pa.string()), ("shingles", i64), ("bands", i64), ("own", i64), ("near", i64), ("code", pa.string())]))
 
-    long = rows.where(F.size(F.split(F.trim("text"), r"\s+")) >= LEAST_WORDS)
-    signed = long.select("row_id", "text", "_train").mapInArrow(work, "row_id long, _train boolean, cls string, shingles array<long>, bands array<long>, own array<long>, near array<long>, code string")
+    signed = rows.where("text is not null").select("row_id", "text", "_train").mapInArrow(work, "row_id long, _train boolean, cls string, shingles array<long>, bands array<long>, own array<long>, near array<long>, code string")
     classes = _classes(signed, "shingles", "bands", "own", "near", "code")
     keyed = classes.withColumn("own", F.concat("bands", "own")).withColumn("near", F.concat("bands", "near"))
     held = classes.select("cls", "shingles", "code")
@@ -213,19 +256,21 @@ def caption_pairs(rows: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("st", "se"))
     alike = shared >= CAPTION_JACCARD * (F.size("st") + F.size("se") - shared)
     near = both.where(alike | F.coalesce(F.levenshtein("wt", "we", CHANGED) >= 0, F.lit(False))).select("ct", "ce")
-    return _expand(signed.select("cls", "row_id", "_train"), near)
+    return Overlap("caption", signed.select("cls", "row_id", "_train"), near)
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose row_id is among ``ids``, sifted by a filter of fixed size before the join."""
-    at, bit = F.pmod(F.xxhash64("row_id"), F.lit(BLOOM)), F.pmod(F.shiftright(F.xxhash64("row_id"), 17), F.lit(63)).cast("int")
-    words = ids.select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_word"))
-    sifted = rows.withColumn("_at", at).withColumn("_bit", bit).join(F.broadcast(words), "_at").where(F.expr("shiftright(_word, _bit) & 1L") == 1)
-    return sifted.drop("_at", "_bit", "_word").join(ids, "row_id", "left_semi")
+    word = F.pmod(F.xxhash64("row_id"), F.lit(BLOOM))
+    mask = F.expr(" | ".join(f"shiftleft(1L, cast(pmod(xxhash64(row_id, {k}), 63) as int))" for k in range(BLOOM_BITS)))
+    words = ids.select(word.alias("_at"), mask.alias("_mask")).groupBy("_at").agg(F.bit_or("_mask").alias("_word"))
+    sifted = rows.withColumn("_at", word).withColumn("_mask", mask).join(F.broadcast(words), "_at").where(F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    return sifted.drop("_at", "_mask", "_word").join(ids, "row_id", "left_semi")
 
 
-def motion_pairs(rows: DataFrame, checkpoint) -> DataFrame:
-    """(t, e) of rows with near-equal motions."""
+def motion_overlap(rows: DataFrame, checkpoint) -> Overlap:
+    """Near-equal motions.  The wide table is read twice: for the signatures, and for the
+    motions of candidates, which are written and compared from there."""
 
     def sign(batches):
         for batch in batches:
@@ -235,9 +280,9 @@ def motion_pairs(rows: DataFrame, checkpoint) -> DataFrame:
             off, v = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             for i, k in enumerate(ids):
                 bands = motion_signature(v[off[i] : off[i + 1]].reshape(-1, WIDTH))
-                out.append({"row_id": k, "_train": train[i], "cls": cls[i], "bands": bands})
+                out.append({"row_id": k, "_train": train[i], "cls": cls[i], "records": int(off[i + 1] - off[i]) // WIDTH, "bands": bands})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_id", pa.int64()), ("_train", pa.bool_()), ("cls", pa.string()), ("bands", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_id", pa.int64()), ("_train", pa.bool_()), ("cls", pa.string()), ("records", pa.int32()), ("bands", pa.list_(pa.int64()))]))
 
     def verify(batches):
         for batch in batches:
@@ -247,43 +292,66 @@ def motion_pairs(rows: DataFrame, checkpoint) -> DataFrame:
             va, vb = (c.values.to_numpy(zero_copy_only=False) for c in (a, b))
             for i in range(len(batch)):
                 x, y = va[oa[i] : oa[i + 1]].reshape(-1, WIDTH), vb[ob[i] : ob[i + 1]].reshape(-1, WIDTH)
-                m = matched(x, y)
-                keep.append(m >= MOTION_JACCARD * (len(x) + len(y) - m))
+                keep.append(same_motion(x, y))
             yield pa.RecordBatch.from_arrays([batch.column("ct").filter(pa.array(keep)), batch.column("ce").filter(pa.array(keep))], ["ct", "ce"])
 
     moving = rows.where(f"size(features) > 0 and size(features) % {WIDTH} = 0").select("row_id", "_train", "features")
     cls = F.concat_ws(":", F.xxhash64("features"), F.hash("features"), F.size("features"))
-    signed = checkpoint(moving.withColumn("cls", cls).mapInArrow(sign, "row_id long, _train boolean, cls string, bands array<long>"))
-    classes = _classes(signed, "bands")
+    signed = checkpoint(moving.withColumn("cls", cls).mapInArrow(sign, "row_id long, _train boolean, cls string, records int, bands array<long>"))
+    classes = _classes(signed, "bands", "records")
     reps = classes.select("cls", "rep")
     pairs = checkpoint(
-        _candidates(classes).join(reps.select(F.col("cls").alias("ct"), F.col("rep").alias("ra")), "ct").join(reps.select(F.col("cls").alias("ce"), F.col("rep").alias("rb")), "ce")
+        _candidates(classes, size="records", ratio=MOTION_JACCARD).join(reps.select(F.col("cls").alias("ct"), F.col("rep").alias("ra")), "ct").join(reps.select(F.col("cls").alias("ce"), F.col("rep").alias("rb")), "ce")
     )
     wanted = pairs.select(F.col("ra").alias("row_id")).unionByName(pairs.select(F.col("rb").alias("row_id"))).distinct()
-    motions = _only(moving.select("row_id", "features"), wanted)
+    motions = checkpoint(_only(moving.select("row_id", "features"), wanted))
     both = pairs.join(motions.select(F.col("row_id").alias("ra"), F.col("features").alias("a")), "ra").join(motions.select(F.col("row_id").alias("rb"), F.col("features").alias("b")), "rb")
     near = both.select("ct", "ce", "a", "b").mapInArrow(verify, "ct string, ce string")
-    return _expand(signed.select("cls", "row_id", "_train"), near)
+    return Overlap("motion", signed.select("cls", "row_id", "_train"), near)
+
 
+def id_overlap(rows: DataFrame) -> Overlap:
+    return Overlap("id", rows.select(id_key().alias("cls"), "row_id", "_train").where("cls is not null"), None)
 
-def overlaps(umr: DataFrame, checkpoint) -> DataFrame:
-    """Distinct (t, e, kind): training row, evaluation row, and the test that names the pair."""
+
+def overlaps(umr: DataFrame, checkpoint) -> list[Overlap]:
+    """What each of the three tests finds; each is written, as several results are made of it."""
     rows = sides(umr)
-    ids = _join_sides(rows.select("row_id", "_train", id_key().alias("key")).where("key is not null"), "key")
-    found = [(ids, "id"), (caption_pairs(rows), "caption"), (motion_pairs(rows, checkpoint), "motion")]
+    out = []
+    for o in (id_overlap(rows), caption_overlap(rows), motion_overlap(rows, checkpoint)):
+        out.append(o if o.links is None else Overlap(o.kind, o.members, checkpoint(o.links)))
+    return out
+
+
+def pairs_of_rows(found: list[Overlap]) -> DataFrame:
+    """Distinct (row_id_a, row_id_b), the smaller first."""
     out = None
-    for pairs, kind in found:
-        one = pairs.select("t", "e", F.lit(kind).alias("kind"))
+    for o in found:
+        one = o.row_pairs().select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()
 
 
-def pairs_of_rows(found: DataFrame) -> DataFrame:
-    """Distinct (row_id_a, row_id_b), the smaller first."""
-    return found.select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b")).distinct()
+def _partners(o: Overlap) -> DataFrame:
+    """(cls, n_partners) of evaluation classes: training rows linked to each."""
+    size = o.members.where("_train").groupBy(F.col("cls").alias("ct")).agg(F.count("*").alias("n"))
+    return o.linked().join(size, "ct").groupBy(F.col("ce").alias("cls")).agg(F.sum("n").alias("n_partners"))
+
+
+def links_of_rows(found: list[Overlap]) -> DataFrame:
+    """(row_id, kind, cls, n_links): the class of every evaluation row with an overlap, and its training partners."""
+    out = None
+    for o in found:
+        one = o.members.where("not _train").join(_partners(o), "cls").select("row_id", F.lit(o.kind).alias("kind"), "cls", F.col("n_partners").alias("n_links"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def report(found: DataFrame, umr: DataFrame) -> DataFrame:
-    """(split, source, n_pairs, n_rows): confirmed pairs and evaluation rows in any, per split and source."""
-    rows = umr.select(F.col("row_id").alias("e"), "split", "source")
-    return found.select("t", "e").distinct().join(rows, "e").groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("e").alias("n_rows"))
+def report(found: list[Overlap], umr: DataFrame) -> DataFrame:
+    """(kind, split, source, n_pairs, n_rows): confirmed pairs and evaluation rows in any, per
+    test, split and source; and of kind ``any`` the rows that some test finds (its pairs are null,
+    as tests can find the same).  Counted from the links of classes, not from pairs."""
+    rows = links_of_rows(found).join(umr.select("row_id", "split", "source"), "row_id")
+    per = rows.groupBy("kind", "split", "source").agg(F.sum("n_links").alias("n_pairs"), F.count("*").alias("n_rows"))
+    any_ = rows.groupBy("split", "source").agg(F.count_distinct("row_id").alias("n_rows"))
+    return per.unionByName(any_.select(F.lit("any").alias("kind"), "split", "source", F.lit(None).cast("long").alias("n_pairs"), "n_rows"))

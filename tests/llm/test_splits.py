@@ -51,8 +51,10 @@ def test_planted_pairs(spark):
     got, found, df = pairs(spark, rows)
     want = {(k, 200 + k) for k in (0, 1, 2, 3, 4)} | {(6, 206), (7, 207)} | {(a, b) for a in (300,) for b in (301, 302)} | {(301, 304), (302, 304)}
     assert got == want
-    report = {(r.split, r.source): (r.n_pairs, r.n_rows) for r in S.report(found, df).collect()}
-    assert report == {("val", "s"): (5, 4), ("test", "s"): (6, 5)}
+    report = {(r.kind, r.split): (r.n_pairs, r.n_rows) for r in S.report(found, df).collect()}
+    assert report == {("id", "test"): (2, 2), ("caption", "val"): (2, 1), ("caption", "test"): (2, 1), ("motion", "val"): (3, 3), ("motion", "test"): (2, 2), ("any", "val"): (None, 4), ("any", "test"): (None, 5)}
+    links = {(r.row_id, r.kind): r.n_links for r in S.links_of_rows(found).collect()}
+    assert links[301, "caption"] == 2 and links[200, "motion"] == 1 and len(links) == 9
 
 
 def test_dirt_and_empty_tables(spark):
@@ -76,6 +78,42 @@ def test_group_of_copies_is_one_class(spark):
     assert got == {(a, b) for a in range(40) for b in range(40, 60)}
 
 
+def test_most_records_that_pair_in_order():
+    rng = np.random.default_rng(5)
+    b = motion(rng).astype(np.float32)
+    a = np.vstack([b[10:11], b])  # a copy of a later record in front
+    assert S.matched(a, b) == S.matched(b, a) == 20 and S.same_motion(a, b)
+    for _ in range(20):
+        x, y = (b[np.sort(rng.choice(20, n))] for n in rng.integers(1, 20, 2))
+        same, best = S.alike(x, y), np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + same[i, j])
+        assert S.matched(x, y) == S.matched(y, x) == best[-1, -1]
+    y = b.copy()
+    y[:, S._LOOK[:14]] += 1.0  # as many values as may differ, all among those looked at first
+    assert S.matched(b, y) == 20
+    y[:, S._LOOK[:15]] += 1.0
+    assert S.matched(b, y) == 0
+
+
+def test_hot_band_is_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    rows = [(f"t{k}", [7, k], True, False, 10 + k % 9) for k in range(40)] + [(f"e{k}", [7], False, True, 10 + k) for k in range(9)]
+    classes = spark.createDataFrame(rows, "cls string, bands array<long>, on_train boolean, on_eval boolean, size int")
+    got = {(r.ct, r.ce) for r in S._candidates(classes).collect()}
+    assert got == {(f"t{k}", f"e{j}") for k in range(40) for j in range(9)}
+    close = {(r.ct, r.ce) for r in S._candidates(classes, size="size", ratio=0.9).collect()}
+    assert close < got and {(f"t{k}", f"e{j}") for k in range(40) for j in range(9) if min(10 + k % 9, 10 + j) >= 0.9 * max(10 + k % 9, 10 + j)} <= close
+
+
+def test_words_are_told_by_one_rule(spark):
+    glued = "left-hand/right-hand:turns,then-jumps/over-the-low:wall and lands_softly"
+    assert len(glued.split()) < S.LEAST_WORDS <= len(S.caption_words(glued))
+    got, *_ = pairs(spark, [row(1, "train", "a_1", glued), row(2, "val", "b_2", glued.replace("-", " "))])
+    assert got == {(1, 2)}
+
+
 def test_candidates_lose_no_near_pair():
     """Bands must bring together pairs at the edge of what counts as the same."""
     rng = np.random.default_rng(2)
