@@ -4,8 +4,9 @@ Lexical cohesion: the records before and after a gap are compared block against
 a valley of their similarity marks a boundary, and its depth how clear a one.  With motion
 at hand the blocks are of motion; without, of the events the records lie in.  From each
 piece's start the deepest valley among the bounds of the clip's events within the size
-window becomes the cut, else the deepest among its planned starts, else the limit itself.
-The next piece starts ``overlap`` records before the cut.
+window becomes the cut, else the deepest among its planned starts, else the deepest of all
+records in the window; the limit itself only where nothing tells the records apart.  The
+next piece starts ``overlap`` records before the cut.
 
 An item without a length, or of at most the limit, gives no piece.  Null, empty,
 disordered, overlapping and outlying events and starts are taken for what they mark inside
@@ -24,6 +25,7 @@ LIMIT, OVERLAP = 300, 30
 SIDE = 24  #: records of a block on either side of a gap
 GRID = 8  #: gaps at which events are compared, besides the bounds
 FPS = 30.0  #: where no rate is known
+FLAT = 1e-9  #: valleys no deeper than this are none
 
 PIECES = "table_name string, item_id string, row_key long, piece int, start int, stop int, cut string"
 
@@ -61,17 +63,23 @@ def event_similarity(gaps: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
     return (before * after).sum(axis=1) / np.maximum(norm, 1e-12)
 
 
-def cut(n: int, bounds: dict[int, float], starts: dict[int, float], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, stop, what it was cut at) of the pieces of ``n`` records; positions map to depths."""
+def cut(n: int, bounds: dict[int, float], starts: dict[int, float], limit: int = LIMIT, overlap: int = OVERLAP, depth: np.ndarray | None = None) -> list[tuple[int, int, str]]:
+    """(start, stop, what it was cut at) of the pieces of ``n`` records; positions map to depths,
+    ``depth`` is that of the gap before each record, where known."""
     kinds = [(name, np.array(sorted(p), np.int64), p) for name, p in (("event", bounds), ("start", starts))]
     out, at = [], 0
     while n - at > limit:
         found = None
-        for name, sorted_at, depth in kinds:
+        for name, sorted_at, deep in kinds:
             a, b = np.searchsorted(sorted_at, [at + overlap + 1, at + limit + 1])
             if b > a:  # of equally deep ones the last
-                found = max((depth[p], p) for p in sorted_at[a:b].tolist())[1], name
+                found = max((deep[p], p) for p in sorted_at[a:b].tolist())[1], name
                 break
+        if found is None and depth is not None:
+            low = at + overlap + 1
+            window = depth[low : at + limit + 1]  # there is a record at the limit, as more than that are left
+            if window.max() > FLAT:
+                found = low + len(window) - 1 - int(window[::-1].argmax()), "valley"
         stop, name = found or (at + limit, "limit")
         out.append((at, stop, name))
         at = stop - overlap
@@ -90,7 +98,7 @@ def pieces_of(n: int, starts, fps: float | None, events, depth, limit: int = LIM
     grid = np.array(sorted({s for s in starts or () if s is not None and 0 < s < n}), np.int64)
     if depth is not None and len(depth) == n:
         depth = np.asarray(depth)
-        return cut(n, dict(zip(marks.tolist(), depth[marks].tolist())), dict(zip(grid.tolist(), depth[grid].tolist())), limit, overlap)
+        return cut(n, dict(zip(marks.tolist(), depth[marks].tolist())), dict(zip(grid.tolist(), depth[grid].tolist())), limit, overlap, depth)
     gaps = np.unique(np.r_[marks, grid, np.arange(GRID, n, GRID)]).astype(np.int64)
     real = np.array([s for s in spans if s[1] > s[0]], np.int64).reshape(-1, 2)
     # in stretches of gaps, so that a long clip with many events needs little memory
@@ -126,7 +134,8 @@ def pieces(umr: DataFrame, plans: DataFrame, events: DataFrame, recordings: Data
             column = batch.column("features")
             off, ok, v = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), column.values.to_numpy(zero_copy_only=False)
             for i in range(len(batch)):
-                depth = motion_depth(v[off[i] : off[i + 1]].reshape(-1, WIDTH)) if ok[i] and (off[i + 1] - off[i]) % WIDTH == 0 else None
+                fits = ok[i] and off[i + 1] > off[i] and (off[i + 1] - off[i]) % WIDTH == 0
+                depth = motion_depth(v[off[i] : off[i + 1]].reshape(-1, WIDTH)) if fits else None
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("rec_id", "row_key", "n", "fps")), pa.array([depth], pa.list_(pa.float64()))], ["rec_id", "row_key", "n", "fps", "depth"])
 
@@ -154,7 +163,9 @@ def pieces(umr: DataFrame, plans: DataFrame, events: DataFrame, recordings: Data
     def work(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            depths = batch.column("depth")
+            for i, r in enumerate(batch.drop_columns("depth").to_pylist()):
+                r["depth"] = depths[i].values.to_numpy(zero_copy_only=False) if depths[i].is_valid else None
                 for k, (a, b, what) in enumerate(pieces_of(r["n"], r["starts"], r["fps"], r["events"], r["depth"], limit, overlap)):
                     rows.append({"table_name": r["table_name"], "item_id": r["item_id"], "row_key": r["row_key"], "piece": k, "start": a, "stop": b, "cut": what})
             if rows:
@@ -162,3 +173,17 @@ def pieces(umr: DataFrame, plans: DataFrame, events: DataFrame, recordings: Data
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("table_name", s), ("item_id", s), ("row_key", pa.int64()), ("piece", i32), ("start", i32), ("stop", i32), ("cut", s)]))
 
     return items.mapInArrow(work, PIECES)
+
+
+def sound(cut_up: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(table_name, item_id, row_key, length, sound): do an item's pieces cover it from 0 on,
+    none above the limit, each with ``overlap`` records of the one before?
+
+    A piece is held against the next by its number: no order, no window.
+    """
+    key = ["table_name", "item_id", "row_key", "piece"]
+    before = cut_up.select(*key[:3], (F.col("piece") + 1).alias("piece"), F.col("stop").alias("before"))
+    on = F.expr(" and ".join(f"a.{k} <=> b.{k}" for k in key))
+    both = cut_up.alias("a").join(before.alias("b"), on, "left").select(*(f"a.{k}" for k in key), "start", "stop", "before")
+    fits = (F.col("stop") > F.col("start")) & (F.col("stop") - F.col("start") <= limit) & F.when(F.col("piece") == 0, F.col("start") == 0).otherwise(F.coalesce((F.col("start") == F.col("before") - overlap) & (F.col("stop") > F.col("before")), F.lit(False)))
+    return both.groupBy(*key[:3]).agg(F.max("stop").alias("length"), F.bool_and(fits).alias("sound"))

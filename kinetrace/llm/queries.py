@@ -66,6 +66,11 @@ def p3_pieces(spark, sf_dir):
     return pieces.pieces(*(table(spark, sf_dir, n) for n in names))
 
 
+def p3_sound(spark, sf_dir):
+    """Length of every item that is cut up, and whether its pieces cover it, within the limit and with the stated overlap."""
+    return pieces.sound(p3_pieces(spark, sf_dir)).select("table_name", "item_id", "row_key", "length", "sound")
+
+
 def p3_found(spark, sf_dir):
     """Items longer than 300 records."""
     return p3_pieces(spark, sf_dir).select("table_name", "item_id").distinct()
@@ -117,9 +122,14 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p4_found, p4_links, p4_ids, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p3_sound, p4_found, p4_links, p4_ids, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
 _VALUES = " union all ".join(f"select '{column}' as field, source, cast((i - 1) % {width} as int) as dim, x::double as x from (select source, unnest({column}) as x, generate_subscripts({column}, 1) as i from {name} where len({column}) % {width} = 0)" for name, column, width, _ in WIDE)
+_PLANS = """plans as (select clip_id, num_frames, row_number() over (partition by clip_id order by planned_at desc, num_frames desc) as k
+               from clip_plans where error is null and clip_id is not null)"""
+_LONG = "case when features is not null then len(features) // 499 else num_records end"
 SQL = {
+    "p3_sound": f"""with {_PLANS} select 'umr_release' as table_name, rec_id as item_id, row_id as row_key, cast({_LONG} as int) as length, true as sound from umr_release where rec_id is not null and {_LONG} > 300
+union all select 'clip_plans', clip_id, null, num_frames, true from plans where k = 1 and num_frames > 300""",
     "p4_ids": """
 with k as (select row_id, lower(trim(split)) = 'train' as train, regexp_replace(regexp_replace(lower(trim(rec_id)), '[^a-z0-9]+(?:r|rev|revision|v|ver|version)[^a-z0-9]*[0-9]+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g') as key
            from umr_release where lower(trim(split)) in ('train', 'val', 'test') and row_id is not null and rec_id is not null)

@@ -47,6 +47,17 @@ def test_deepest_valley_of_the_motion():
     assert P.pieces_of(500, None, 50.0, marks, depth)[0][1] == 181
 
 
+def test_valleys_where_there_is_neither_event_nor_start():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(130, 499)) * 0.05 + rng.normal(size=499) for _ in range(5)])
+    parts = P.pieces_of(650, None, 50.0, None, P.motion_depth(x))
+    sound(parts, 650, 300, 30)
+    assert {what for *_, what in parts[:-1]} == {"valley"}
+    assert all(min(abs(b - m) for m in (130, 260, 390, 520)) <= 2 for _, b, _ in parts[:-1])
+    assert P.pieces_of(650, None, 50.0, None, np.zeros(650))[0] == (0, 300, "limit")
+    assert P.pieces_of(650, [64], 50.0, None, P.motion_depth(x))[0] == (0, 64, "start")
+
+
 def test_no_usable_events():
     for events in (None, [], [None], [{"start_time": None, "end_time": 1.0}], [{"start_time": float("nan"), "end_time": 1.0}], [{"start_time": -5.0, "end_time": 1e9}]):
         for fps in (None, 0.0, float("nan"), 50.0):
@@ -78,6 +89,10 @@ def test_tables(spark):
     own = sorted((r.piece, r.start, r.stop, r.cut) for r in got if r.item_id == "s")
     sound([p[1:] for p in own], 5000, 300, 30)
     assert own[0][2:] == (250, "event")
+    checked = P.sound(P.pieces(*frames)).collect()
+    assert all(r.sound for r in checked) and {(r.item_id, r.row_key, r.length) for r in checked} == {("a", 1, 310), ("a", 2, 310), ("b", 3, 400), ("q", None, 301), ("s", None, 5000)}
+    spoilt = P.pieces(*frames).where("not (item_id = 's' and piece = 3)")
+    assert {r.item_id for r in P.sound(spoilt).collect() if not r.sound} == {"s"}
     assert P.pieces(*(f.limit(0) for f in frames)).count() == 0
 
 
