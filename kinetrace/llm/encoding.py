@@ -1,24 +1,30 @@
 """Text decoded with a wrong character encoding: find it, restore it.
 
-A hidden Markov model labels the words of a text that hold non-ASCII characters.  It has
-one clean state and one state per pair (encoding of the text, encoding it was read by).
-The clean state emits characters by a bigram model counted over the whole corpus; a pair's
-state emits the garbling of such text, so the probability of a word in it is that of the
-word after the pair's inverse transform.  ASCII reads the same in every state and is
-passed over.  Labelled spans get the inverse transform of their state; a span of the
-state ``lost`` (replacement characters) has none.
-
-A word that the same line also holds as it should be, or that the line puts beside its
-own restored form, is quoted, not garbled, and stays.
-
-Null and empty texts, and texts without such words, are never found; every text, however
-long, is labelled whole.
+A hidden Markov model labels the characters of a text that are not ASCII, piece by piece:
+what stands between blanks, cut also where East Asian characters begin or end, so that a
+span may begin inside a word.  It has one clean state and one state per pair (encoding of
+the text, encoding it was read by).  The clean state emits characters by a bigram model
+counted over the whole corpus; a pair's state emits the garbling of such text, so the
+probability of a piece in it is that of the piece after the pair's inverse transform.
+ASCII reads the same in every state and is passed over.  Two states stand for readings
+that lost bytes: ``lost`` emits a replacement character where any other stood, ``stripped``
+what is left of UTF-8 when control characters are dropped.  Labelled spans get the inverse
+transform of their state; where bytes are lost, only what one reading alone can have been.
+References to characters (``&#195;``) are read as the characters.
+
+A piece whose original the sentence goes on to hold, and a replacement character alone
+between quotation marks, is quoted, not garbled, and stays, whatever its state.
+
+Null and empty texts, and texts without such characters, are never found; every text,
+however long, is labelled whole.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import product
 
@@ -42,6 +48,8 @@ LOST = "�"
 NEAR = 80  #: characters within which a quotation and its restored form stand
 
 WORD = re.compile(r"[^\s\x00-\x20]*[^\x00-\x7f](?:[^\x00-\x20])*")
+EAST = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]+|[^\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]+")
+REFERENCE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
@@ -72,7 +80,7 @@ def _lowered(back: dict[str, int]) -> dict[str, tuple[int, ...]]:
 SINGLE = {c: _table(c) for c in {*READ_AS, *WRITTEN_IN} - {"utf-8", *MULTI}}
 LOWERED = {c: _lowered(SINGLE[c][0]) for c in READ_AS if c != "latin-1"}
 #: characters the model tells apart; all others stand for their class
-KNOWN = {c for _, there in SINGLE.values() for c in there if ord(c) > 127} | {LOST}
+KNOWN = {c for _, there in SINGLE.values() for c in there if ord(c) > 127} | {LOST} | set("←↑→↓⇐⇒✓✔✗✘★☆●○■□▲△▼▽♥♦♣♠")
 
 
 def cls(c: str) -> str:
@@ -122,15 +130,22 @@ def kana_bytes(word: str) -> bool:
     return False
 
 
-def without_kana_bytes(text: str) -> str:
-    for word in {w for w in PART.findall(text) if len(w) >= 2 * LEAST_KANA and not w.isascii()}:
-        if kana_bytes(word):
+def remains(word: str) -> bool:
+    """Does the word consist of what is left of East Asian UTF-8 bytes?"""
+    pieces = EASTERN.findall(word)
+    return len(pieces) >= 6 and sum(map(len, pieces)) >= 0.8 * sum(c > "\x7f" for c in word)
+
+
+def without_bytes(text: str) -> str:
+    """The text without words the clean state must not learn."""
+    for word in {w for w in PART.findall(text) if len(w) >= 6 and not w.isascii()}:
+        if remains(word) or len(word) >= 2 * LEAST_KANA and kana_bytes(word):
             text = text.replace(word, " ")
     return text
 
 
 def count_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): neighbouring characters of which one is not ASCII, over all texts but their ``kana_bytes``."""
+    """(a, b, n): neighbouring characters of which one is not ASCII, over all texts, ``without_bytes``."""
 
     def work(batches):
         from collections import Counter
@@ -139,7 +154,7 @@ def count_pairs(docs: DataFrame, text: str) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for run in RUN.findall(without_kana_bytes(x)):
+                for run in RUN.findall(without_bytes(x)):
                     total.update(zip(run, run[1:]))
             if len(total) > 200_000:
                 yield from _pairs(total, memo)
@@ -172,10 +187,21 @@ class Model:
         self.first: dict[str, int] = {}
         self.single: dict[str, int] = {}
         self.pair: dict[tuple[str, str], int] = {}
+        self.into: dict[str, int] = {}  # how often any character but ASCII follows, and is followed
+        self.out_of: dict[str, int] = {}
+        self.between = self.others = 0
         for a, b, n in pairs:
+            if LOST in (a, b):
+                continue  # no text has it of its own
             self.pair[a, b] = n
             self.first[a] = self.first.get(a, 0) + n
             self.single[b] = self.single.get(b, 0) + n
+            if b > "\x7f":
+                self.into[a] = self.into.get(a, 0) + n
+            if a > "\x7f":
+                self.out_of[b] = self.out_of.get(b, 0) + n
+                self.others += n
+                self.between += n * (b > "\x7f")
         self._disown()
         self.score = lru_cache(1 << 17)(self._score)
         self.log = lru_cache(1 << 17)(self._log)
@@ -204,34 +230,49 @@ class Model:
     def likelihood(self, word: str) -> float:
         return sum(map(self.log, " " + word, word + " "))
 
-    def _score(self, word: str) -> tuple[tuple[str, float, str], ...]:
-        """(state, gain, restored word) of each state that explains the word better than the clean one."""
-        if LOST in word:
-            return (("lost", 40.0 * word.count(LOST), word),)
+    def _lost(self, word: str) -> float:
+        """Log probability of a word in which replacement characters stand for any others."""
+        total = 0.0
+        for a, b in zip(" " + word, word + " "):
+            if LOST not in (a, b):
+                total += self.log(a, b)
+                continue
+            if a == b:
+                n, of = self.between, self.others
+            elif b == LOST:
+                n, of = self.into.get(cls(a), 0), self.first.get(cls(a), 0)
+            else:
+                n, of = self.out_of.get(cls(b), 0), self.others
+            total += math.log((1 - BACKOFF) * n / (of + 1) + BACKOFF * n / self.total + UNSEEN)
+        return total
+
+    def _score(self, word: str) -> tuple[tuple[str, float, str, bool], ...]:
+        """(state, gain, reading, is it the original) of each state that explains the word better than the clean one."""
         own = self.likelihood(word)
+        if LOST in word:
+            gain = self._lost(word) - own
+            return (("lost", gain, word, False),) if gain > 0 else ()
         out = []
-        readings = inverses(word)
-        if (some := unstrip(word, self.log)) is not None:
-            readings.append(("stripped", some))
-            pieces = EASTERN.findall(word)
-            if len(pieces) >= 6 and sum(map(len, pieces)) >= 0.8 * sum(c > "\x7f" for c in word):
-                return (("stripped", 40.0, some),)
-        known = {r: self.likelihood(r) for r in {r for _, r in readings}}
-        for state, restored in readings:  # states that restore alike are kept: neighbours decide
+        readings = [(state, restored, True) for state, restored in inverses(word)]
+        known = {r: self.likelihood(r) for r in {r for _, r, _ in readings}}
+        for some, sure, more in unstrip(word, self.log):
+            readings.append(("stripped", some, sure))
+            known[some] = max(known.get(some, -math.inf), self.likelihood(some) + more)
+        for state, restored, sure in readings:  # states that restore alike are kept: neighbours decide
             gain = known[restored] - own
             if gain > 0:
-                out.append((state, gain, restored))
+                out.append((state, gain, restored, sure))
         out.sort(key=lambda x: -x[1])
         return tuple(out)
 
-    def label(self, words: list[str]) -> list[tuple[str, str] | None]:
-        """Viterbi over the words: (state, restored) of garbled ones, None of clean ones."""
+    def label(self, words: list[str]) -> list[tuple[str, str, bool] | None]:
+        """Viterbi over the words: (state, reading, is it the original) of garbled ones, None of clean ones."""
         scored = [self.score(w) for w in words]
         if not any(s and s[0][1] > -ENTER for s in scored) and sum(s[0][1] for s in scored if s) < -ENTER:
             return [None] * len(words)
         best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
         for i, s in enumerate(scored):
-            gains = {state: gain for state, gain, _ in s}
+            gains = {state: gain for state, gain, *_ in s}
             top = max(best.values(), key=lambda x: x[0])
             new = {}
             clean = best.get("", (-math.inf, ()))
@@ -251,7 +292,7 @@ class Model:
         while path:
             (i, state), path = path
             found[i] = state
-        return [(found[i], next(r for st, _, r in s if st == found[i])) if i in found else None for i, s in enumerate(scored)]
+        return [(found[i], *next(rest for st, _, *rest in s if st == found[i])) if i in found else None for i, s in enumerate(scored)]
 
 
 def _decode_utf8(raw: bytes, word: str) -> str | None:
@@ -304,11 +345,20 @@ STRIPPED = _stripped()
 EASTERN = re.compile("ã[\xa0-¿]?|[ä-é][\xa0-¿]?")
 
 
-def unstrip(word: str, log) -> str | None:
-    """The likeliest reading of a word whose garbled characters lost some of their bytes."""
+KEPT = math.log(4)  #: an East Asian character keeps one of four of the forms its bytes may leave
+
+
+def unstrip(word: str, log) -> list[tuple[str, bool, float]]:
+    """(reading, is it the original, log weight) of a word whose garbled characters lost some of their bytes.
+
+    East Asian characters leave too little to tell one from the other: their reading has a
+    sign for the script of each, and counts for all its characters.  Of others the likeliest
+    is read, and is the original if it is the only one.
+    """
     if len(EASTERN.findall(word)) >= 3 and "ã" in word:
-        return EASTERN.sub(lambda m: "あ" if m.group()[0] == "ã" else "一", word)
-    out, at, changed = [" "], 0, False
+        signs = EASTERN.sub(lambda m: "あ" if m.group()[0] == "ã" else "一", word)
+        return [(signs, False, sum(SHARE[c] - KEPT for c in signs if c in "あ一"))]
+    out, at, changed, sure = [" "], 0, False, True
     while at < len(word):
         took = word[at]
         if "\xc2" <= took <= "\xf4":
@@ -316,13 +366,14 @@ def unstrip(word: str, log) -> str | None:
             if keys:
                 nxt = word[at + len(keys[0]) : at + len(keys[0]) + 1] or " "
                 best = max(STRIPPED[keys[0]], key=lambda c: log(out[-1], c) + log(c, nxt if nxt < "\x80" else " "))
+                sure &= len(STRIPPED[keys[0]]) == 1
                 out.append(best)
                 at += len(keys[0])
                 changed = True
                 continue
         out.append(took)
         at += 1
-    return "".join(out[1:]) if changed else None
+    return [("".join(out[1:]), sure, 0.0)] if changed else []
 
 
 def deeper(once: str, read: str) -> list[tuple[str, str]]:
@@ -378,10 +429,28 @@ def inverses(word: str) -> list[tuple[str, str]]:
 
 
 SENTENCE = re.compile(r"[.?!]\s|\n")
+OPEN, CLOSE = "\"'`“”„‘‚«»‹›([{", "\"'`“”’‘«»‹›)]}"
+MARKS = re.compile("^[\"'`“”„‘’‚«»‹›()\\[\\]{}.,;:!?]*(.*?)[\"'`“”„‘’‚«»‹›()\\[\\]{}.,;:!?]*$")
+
+
+def _alone(text: str, at: int, word: str) -> bool:
+    """Is the word nothing but replacement characters between quotation marks?"""
+    core = MARKS.match(word).group(1)
+    if not core or core.strip(LOST):
+        return False
+    a = at + word.index(core)
+    return text[:a].rstrip()[-1:] in OPEN and text[:a].strip() != "" and text[a + len(core) :].lstrip()[:1] in CLOSE and text[a + len(core) :].strip() != ""
 
 
 def quoted(text: str, at: int, word: str, restored: str) -> bool:
     """Does the sentence go on to hold, as it should be, what the word at ``at`` garbles?"""
+    after = text[at + len(word) : at + len(word) + NEAR]
+    stop = SENTENCE.search(after)
+    after = after[: stop.start() + 1 if stop else NEAR]
+    if LOST in restored:
+        core = MARKS.match(word).group(1)
+        whole = re.sub(f"{LOST}+", "[^\\\\x00-\\\\x7f]+", re.escape(core))
+        return _alone(text, at, word) or bool(core.strip(LOST) and re.search(whole, after.replace(LOST, " ")))
     a = 0
     while a < min(len(word), len(restored)) and word[a] == restored[a]:
         a += 1
@@ -393,38 +462,69 @@ def quoted(text: str, at: int, word: str, restored: str) -> bool:
         a -= 1
     while end < len(restored) and restored[end].isalnum():
         end += 1
-    after = text[at + len(word) : at + len(word) + NEAR]
-    stop = SENTENCE.search(after)
-    return end > a and restored[a:end] in after[: stop.start() + 1 if stop else NEAR]
+    return end > a and restored[a:end] in after
 
 
-def examine(model: Model, text: str) -> tuple[list[tuple[int, str, str, str]], str]:
-    """Garbled words (position, word, state, restored) that are no quotations, and the text with them restored."""
-    found, words = list(WORD.finditer(text)), []
-    labels = model.label([m.group() for m in found])
-    for m, label in zip(found, labels):
-        if label is None:
+def read_references(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The text with references to characters read, and (position in it, position in the text) wherever the two shift."""
+    if "&" not in text:
+        return text, [(0, 0)]
+    out, shifts, at, size = [], [(0, 0)], 0, 0
+    for m in REFERENCE.finditer(text):
+        c = html.unescape(m.group())
+        if len(c) != 1 or c < "\x80":
             continue
-        if label[0] in ("lost", "stripped") or not quoted(text, m.start(), m.group(), label[1]):
-            words.append((m.start(), m.group(), *label))
+        out += [text[at : m.start()], c]
+        size += m.start() - at + 1
+        at = m.end()
+        shifts += [(size - 1, m.start()), (size, at)]
+    return "".join(out) + text[at:], shifts
+
+
+def pieces(text: str) -> list[tuple[int, str]]:
+    """(position, piece): what is labelled at once."""
+    out = []
+    for m in WORD.finditer(text):
+        out += [(m.start() + k.start(), k.group()) for k in EAST.finditer(m.group()) if not k.group().isascii()]
+    return out
+
+
+def examine(model: Model, text: str) -> tuple[list[tuple[int, str, str, str | None]], str]:
+    """Garbled pieces (position, piece, state, original if known) that are no quotations, and
+    the text with the known originals in their place, all else as it is."""
+    seen, shifts = read_references(text)
+    found, words = pieces(seen), []
+    labels = model.label([w for _, w in found])
+    for (start, word), label in zip(found, labels):
+        if label is not None and not quoted(seen, start, word, label[1]):
+            words.append((start, word, label[0], label[1] if label[2] else None))
+
+    def place(k: int) -> int:
+        a, b = shifts[bisect_right(shifts, (k, len(text) + 1)) - 1]
+        return b + k - a
+
     out, at = [], 0
-    for start, word, _, restored in words:
-        out += [text[at:start], restored]
-        at = start + len(word)
+    for start, word, _, original in words:
+        if original is not None:
+            out += [text[at : place(start)], original]
+            at = place(start + len(word))
     return words, "".join(out) + text[at:]
 
 
 def fit(docs: DataFrame, text: str = "text") -> list[tuple[str, str, int]]:
     """Pairs of the clean state, counted over all texts.  At most (characters known)^2 rows."""
     bound = (len(KNOWN) + 128 + 8) ** 2
-    rows = count_pairs(docs, text).limit(bound).toArrow()
+    rows = count_pairs(docs, text).limit(bound + 1).toArrow()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} pairs of characters")
     return list(zip(*(rows.column(c).to_pylist() for c in ("a", "b", "n"))))
 
 
 def garbled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, states, restored): texts with garbled words, and the text restored.
+    """(key, n_words, n_restored, states, restored): texts with garbled words, and the text restored.
 
-    ``restored`` is null where no word could be restored.  Two passes over the texts, the
+    ``restored`` has the original of ``n_restored`` words, and the others as they are; it is
+    null where no word could be restored.  Two passes over the texts, the
     first for the pairs of the clean state; nothing is shuffled but those counts.
     """
     pairs = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
@@ -437,8 +537,8 @@ def garbled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, restored = examine(model, x)
                 if words:
-                    rows.append({key: k, "n_words": len(words), "states": sorted({w[2] for w in words}), "restored": restored if restored != x else None})
+                    rows.append({key: k, "n_words": len(words), "n_restored": sum(w[3] is not None for w in words), "states": sorted({w[2] for w in words}), "restored": restored if restored != x else None})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(0).type), ("n_words", pa.int32()), ("states", pa.list_(pa.string())), ("restored", pa.string())]))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(0).type), ("n_words", pa.int32()), ("n_restored", pa.int32()), ("states", pa.list_(pa.string())), ("restored", pa.string())]))
 
-    return docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(key, text).mapInArrow(work, f"`{key}` {kind}, n_words int, states array<string>, restored string")
+    return docs.where(F.col(text).rlike("[^\\x00-\\x7f]|&[#A-Za-z]")).select(key, text).mapInArrow(work, f"`{key}` {kind}, n_words int, n_restored int, states array<string>, restored string")

@@ -154,6 +154,39 @@ def test_clean_and_quoting_texts_stay(model):
         assert not words and restored == x
 
 
+def test_nothing_is_made_up(model):
+    eastern = "日本語の文字化けです。まずモーターを確認してください".encode("utf-8").decode("latin-1")
+    stripped = "".join(c for c in eastern if not "\x80" <= c <= "\x9f")
+    for bad in (stripped, "so sch�n hier", "caf� und T�r", "".join(c for c in "“quick”".encode("utf-8").decode("latin-1") if not "\x80" <= c <= "\x9f")):
+        words, restored = encoding.examine(model, bad)
+        assert words and restored == bad and all(w[3] is None for w in words)
+    both = "sch�n, " + "Größe".encode("utf-8").decode("cp1252")
+    words, restored = encoding.examine(model, both)
+    assert len(words) == 2 and restored == "sch�n, Größe"
+
+
+def test_replacement_characters_that_are_talked_about(model):
+    for x in ('The character "�" is called the replacement character.', "I see ` � ` in the log.", "It prints caf� where the form had café.", "(�) means that a byte was lost"):
+        assert encoding.examine(model, x) == ([], x)
+    for x in ("� inch or � inch", 'He said "caf�" twice.', "Costs about �190"):
+        assert encoding.examine(model, x)[0]
+
+
+def test_references_to_characters(model):
+    bad = "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in CLEAN[3].encode("utf-8").decode("cp1252", "replace"))
+    words, restored = encoding.examine(model, "5 &lt; 6 &#233; &amp; " + bad)
+    assert words and restored == "5 &lt; 6 &#233; &amp; " + CLEAN[3]
+    for x in ("caf&#233; na&iuml;ve &amp; &nbsp; &unknown;", "&#;&#99999999;&#xZZ; & &&"):
+        assert encoding.examine(model, x) == ([], x)
+
+
+def test_span_inside_a_word(model):
+    bad = "".join(encoding.SINGLE["cp1251"][1][b] for b in "спасибо".encode("koi8-r"))
+    garbled = "ありがとうございます" + "Größe, Füße".encode("utf-8").decode("cp1252") + "を確認"
+    assert encoding.examine(model, garbled)[1] == "ありがとうございますGröße, Füßeを確認"
+    assert encoding.pieces("変更" + bad + "確認")[1] == (2, bad)
+
+
 def test_stretch_inside_a_long_text(model):
     bad = CLEAN[3].encode("utf-8").decode("latin-1")
     text = (CLEAN[3] + " plain. ") * 400 + bad + "\n" + CLEAN[3]
