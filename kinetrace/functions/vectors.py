@@ -28,6 +28,28 @@ def part(x: Column, start: int, width: int) -> Column:
     return F.slice(x, start + 1, width)
 
 
+def split_streams(record: Column) -> tuple[Column, Column]:
+    """A record as root, velocities and contacts on one side and the joints' rotations on the other."""
+    from ..catalog import slices
+
+    at_, width = slices()["joints76_rot6d"]
+    return F.concat(part(record, 0, at_), F.slice(record, at_ + width + 1, 1 << 20)), part(record, at_, width)
+
+
+def joined_streams(rest: Column, joints: Column) -> Column:
+    """The record of its two streams."""
+    from ..catalog import slices
+
+    at_, _ = slices()["joints76_rot6d"]
+    return F.concat(part(rest, 0, at_), joints, F.slice(rest, at_ + 1, 1 << 20))
+
+
+def without_contacts(record: Column) -> Column:
+    from ..catalog import slices
+
+    return part(record, 0, slices()["foot_contact"][0])
+
+
 def pick(x: Column, places: list[int]) -> Column:
     """Elements at fixed places, which may repeat."""
     return F.array(*(F.get(x, F.lit(i)) for i in places))

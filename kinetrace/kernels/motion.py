@@ -122,6 +122,18 @@ def encode(joints: np.ndarray, rotations: np.ndarray, fps: float, target: float
     return Clip(out, x[0, 0], rot6d(m[0, 0]), rot6d(m[0, 1:]), x)
 
 
+def fk_losses(pred: np.ndarray, true: np.ndarray, down: np.ndarray) -> dict[str, float]:
+    """Mean distances per axis of joints [T, 77, 3], their steps and second differences, and the
+    movement of feet that the records [T - 1, 4] say are down."""
+
+    def mean(k):
+        d = np.diff(pred, k, axis=0) - np.diff(true, k, axis=0) if k else pred - true
+        return float(np.abs(d).mean()) if d.size else float("nan")
+
+    moved = np.abs(np.diff(pred[:, FEET], axis=0)).sum(axis=-1)
+    return {"fk_joint": mean(0), "fk_vel": mean(1), "fk_acc": mean(2), "skate": float((moved * down).sum() / (down.sum() * 3 + 1e-6))}
+
+
 def decode(features: np.ndarray, root_pos: np.ndarray, root_rot6d: np.ndarray, joints_rot6d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation matrices [T, 77, 3, 3], root positions [T, 3] and contacts [T, 4] of records."""
     at, n = slices(), len(features)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,17 +43,47 @@ def usage_rollup(codes: DataFrame, stream: str, code: str, size: int) -> DataFra
     ).drop("_all")
 
 
-def updated(assigned: DataFrame, values: DataFrame, key: str, book: DataFrame, momentum: float) -> DataFrame:
-    """(code, dim, size, c): exponential averages after one batch; codes below one member
-    keep their vector and are for the caller to replace.
+def fresh(book: DataFrame) -> DataFrame:
+    """State (code, dim, total, size, c) of a codebook (code, dim, c) that has seen no batch:
+    its sums are the codebook, its counts one.  So it starts, and so it is rebuilt when only
+    the codebook was kept."""
+    return book.select("code", "dim", F.col("c").cast("double").alias("total"), F.lit(1.0).alias("size"), F.col("c").cast("double").alias("c"))
 
-    ``book`` has (code, dim, c): averages start from it with a count of one.
+
+def as_book(state: DataFrame) -> tuple[DataFrame, str, str, int]:
+    """What ``matching.codebook`` takes, of a state: a row per code with its vector."""
+    width = state.agg(F.max("dim")).head()[0] + 1
+    rows = state.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("r"))  # as many as there are dimensions
+    return rows.select("code", F.transform("r", lambda e: e["c"]).alias("vec")), "code", "vec", width
+
+
+def spares(state: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """(code, dim, spare): for the codes in order the first vectors of a batch by key, taken in turn.
+
+    Both sides are no more than the codes of a codebook, which is bounded.
+    """
+    codes = state.select("code").distinct().withColumn("_k", F.row_number().over(Window.orderBy("code")) - 1)
+    most = codes.count()
+    first = values.select(key).distinct().orderBy(key).limit(most).withColumn("_p", F.row_number().over(Window.orderBy(key)) - 1)
+    n = first.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    turn = codes.crossJoin(F.broadcast(n)).withColumn("_p", F.pmod("_k", "_n").cast("int"))  # one row
+    return turn.join(first, "_p").join(values, key).select("code", "dim", F.col("x").alias("spare"))
+
+
+def updated(state: DataFrame, assigned: DataFrame, values: DataFrame, key: str, momentum: float) -> DataFrame:
+    """The state (code, dim, total, size, c) after a batch: running sums and counts of each
+    code's members decay by ``momentum``; a code whose count falls below one is dead, and
+    takes a vector of the batch instead (its own, where the batch has none).
+
+    ``assigned`` has (key, code), ``values`` (key, dim, x); vectors without a code do not count.
     """
-    sums = assigned.where("code is not null").join(values, key).groupBy("code", "dim").agg(F.sum("x").alias("_s"), F.count("*").alias("_n"))
-    joined = book.join(sums, ["code", "dim"], "left")
-    size = momentum * 1.0 + (1 - momentum) * F.coalesce("_n", F.lit(0))
-    total = momentum * F.col("c") + (1 - momentum) * F.coalesce("_s", F.lit(0.0))
-    return joined.select("code", "dim", size.alias("size"), F.when(size >= momentum, total / size).otherwise(F.col("c")).alias("c"), (F.coalesce("_n", F.lit(0)) < 1).alias("dead"))
+    members = assigned.where("code is not null").select(key, "code")
+    good = values.join(members, key)
+    sums = good.groupBy("code", "dim").agg(F.sum("x").alias("_s"), F.count("*").alias("_n"))
+    joined = state.join(sums, ["code", "dim"], "left").join(spares(state, good.select(key, "dim", "x"), key), ["code", "dim"], "left")
+    size = momentum * F.col("size") + (1 - momentum) * F.coalesce("_n", F.lit(0))
+    total = momentum * F.col("total") + (1 - momentum) * F.coalesce("_s", F.lit(0.0))
+    return joined.select("code", "dim", total.alias("total"), size.alias("size"), F.when(size >= 1, total / size).otherwise(F.coalesce("spare", "c")).alias("c"))
 
 
 def token_rate(n_codes: Column, seconds: Column, size: int) -> tuple[Column, Column]:

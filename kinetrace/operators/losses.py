@@ -29,22 +29,43 @@ def focal(logit: Column, y: Column, alpha: float = 0.5, gamma: float = 2.0) -> C
     return weight * F.pow(1 - hit, F.lit(gamma)) * bce(logit, y)
 
 
-def cosine_loss(cos: Column) -> Column:
-    """1 - cos as an aggregate; pairs without a cosine (missing vectors) are masked."""
-    return F.avg(1 - cos)
+def cosine_loss(cos: Column, present: Column | None = None) -> Column:
+    """Mean of 1 - cos as an aggregate.  With ``present`` (one teacher vector a token) those
+    without a teacher are masked, and the mean of none is 0."""
+    if present is None:
+        return F.avg(1 - cos)
+    return F.coalesce(F.sum(F.when(present, 1 - cos)), F.lit(0.0)) / F.greatest(F.count_if(present), F.lit(1))
 
 
 def orthogonality(first: list[Column], second: list[Column]) -> Column:
-    """How far two 3-vectors are from orthonormal."""
-    def dot(a, b):
-        return sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])
+    """Square of the dot product of the two columns of a rot6d: 0 where they are at right angles."""
+    dot = sum((x * y for x, y in zip(first[1:], second[1:])), first[0] * second[0])
+    return dot * dot
 
-    return F.pow(dot(first, second), F.lit(2)) + F.pow(dot(first, first) - 1, F.lit(2)) + F.pow(dot(second, second) - 1, F.lit(2))
 
+def foot_skate(step: list[Column], contact: Column) -> Column:
+    """Movement of feet in contact, per axis, as an aggregate; ``step`` is a foot's x, y, z difference."""
+    moved = sum((F.abs(c) for c in step[1:]), F.abs(step[0]))
+    return F.sum(contact * moved) / (F.sum(contact) * 3 + 1e-6)
 
-def foot_skate(speed: Column, contact: Column) -> Column:
-    """Speed of feet in contact, as an aggregate."""
-    return F.sum(contact * F.abs(speed)) / (F.sum(contact) * 3 + 1e-6)
+
+def commitment(dist: Column, width: int) -> Column:
+    """Mean square distance of vectors to their codes, per number, as an aggregate of squared distances."""
+    return F.avg(dist / width)
+
+
+def root_header(traj: Column, rot6d: Column, traj_weight: float = 1.0, rot_weight: float = 1.0) -> Column:
+    """Both losses of the root, each by its number of channels."""
+    return (traj_weight * 9.0 * traj + rot_weight * 6.0 * rot6d) / 15.0
+
+
+def weighted(terms: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Sum of the terms by their weights; a term without a weight does not count."""
+    out = F.lit(0.0)
+    for name, weight in weights.items():
+        if weight:
+            out = out + weight * terms[name]
+    return out
 
 
 def learning_rate(step: Column, base: float, warm: int, total: int, least: float = 0.0) -> Column:

@@ -52,6 +52,44 @@ def codebook(vectors: DataFrame, code: str, vector: str, width: int, most: int =
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), width)
 
 
+def vectors_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold ``width`` finite numbers, and the matrix of all rows, zeros where not."""
+    off, ok = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    v = column.values.to_numpy(zero_copy_only=False)
+    good = ok & (np.diff(off) == width)
+    x = np.zeros((len(column), width))
+    rows = np.flatnonzero(good)
+    if len(rows):
+        x[rows] = v[off[rows][:, None] + np.arange(width)]
+    fine = np.isfinite(x).all(axis=1)
+    x[~fine] = 0.0
+    return good & fine, x
+
+
+def nearest_code(x: np.ndarray, book: np.ndarray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest row of ``book`` of each row of ``x`` and its squared distance, rounded to 9 places.
+
+    The expanded square is one matrix product; what it leaves too close to call is computed
+    again as a difference, so ties go to the lowest code as if all had been.
+    """
+    found, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+    own = (book**2).sum(axis=1)
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        square = (part**2).sum(axis=1)
+        d = own[None] - 2 * (part @ book.T)
+        least = d.min(axis=1)
+        close = d <= (least + 2e-9 + 1e-12 * (square + own.max(initial=0.0)))[:, None]
+        k = d.argmin(axis=1)
+        exact = np.round(((part - book[k]) ** 2).sum(axis=1), 9)
+        for i in np.flatnonzero(close.sum(axis=1) > 1):
+            some = np.flatnonzero(close[i])
+            e = np.round(((part[i] - book[some]) ** 2).sum(axis=1), 9)
+            k[i], exact[i] = some[e.argmin()], e.min()
+        found[a : a + step], dist[a : a + step] = k, exact
+    return found, dist
+
+
 def quantized(df: DataFrame, key: str, vector: str, books: list[tuple[list, np.ndarray]], residual: bool = True) -> DataFrame:
     """(key, layer, code, dist): nearest code of each layer by squared distance.
 
@@ -66,23 +104,15 @@ def quantized(df: DataFrame, key: str, vector: str, books: list[tuple[list, np.n
 
     def work(batches):
         for batch in batches:
-            keys, rows = batch.column(0), batch.column(1).to_pylist()
-            good = [r is not None and len(r) == width and all(v is not None and np.isfinite(v) for v in r) for r in rows]
-            x = np.array([r if g else [0.0] * width for r, g in zip(rows, good)], np.float64).reshape(len(rows), width)
+            keys = batch.column(0)
+            good, x = vectors_of(batch.column(1), width)
             left = x.copy()
             for layer, (codes, book) in enumerate(shared.value):
-                found, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
-                for a in range(0, len(x), 1024):
-                    part = left[a : a + 1024] if residual else x[a : a + 1024]
-                    d = np.round(((part[:, None, :] - book[None]) ** 2).sum(axis=2), 9)
-                    found[a : a + 1024] = d.argmin(axis=1)
-                    dist[a : a + 1024] = d.min(axis=1)
+                found, dist = nearest_code(left if residual else x, book)
                 if residual:
                     left -= book[found]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array([layer] * len(x), pa.int32()), pa.array([int(codes[f]) if g else None for f, g in zip(found, good)], pa.int64()), pa.array([d if g else None for d, g in zip(dist.tolist(), good)], pa.float64())],
-                    [key, "layer", "code", "dist"],
-                )
+                names = np.array(codes, np.int64)[found]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(x), layer, np.int32)), pa.array(names, mask=~good), pa.array(dist, mask=~good)], [key, "layer", "code", "dist"])
 
     return df.select(key, vector).mapInArrow(work, f"`{key}` {kind}, layer int, code long, dist double")
 
@@ -131,8 +161,8 @@ def retrieval(df: DataFrame, key: str, teacher: str, student: str, every: int =
     q = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", teacher, student)))
 
     def unit(batch, name, i):
-        ids = np.array(batch.column("q_ids" if name.startswith("q_") else "ids")[i].as_py())
-        v = np.array(batch.column(name)[i].as_py(), np.float64).reshape(len(ids), -1)
+        ids = batch.column("q_ids" if name.startswith("q_") else "ids")[i].values.to_numpy(zero_copy_only=False)
+        v = batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         return ids, v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def nearest(batches):

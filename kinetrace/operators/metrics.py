@@ -37,6 +37,16 @@ def mean_distance_mm(a: list[Column], b: list[Column]) -> Column:
     return F.avg(distance(a, b)) * MM
 
 
+def rotation_rmse(angle: Column, of: Column | None = None) -> Column:
+    """Root mean square of angles between rotations, as an aggregate, of the rows that ``of`` names."""
+    return F.sqrt(F.avg(angle * angle if of is None else F.when(of, angle * angle)))
+
+
+def drift(path: Column, true_path: Column, same_shape: Column) -> Column:
+    """How far a path's length is off; the length itself where there is no truth of the same shape."""
+    return F.when(F.coalesce(same_shape, F.lit(False)), F.abs(path - true_path)).otherwise(path)
+
+
 def nonfinite_share(x: Column) -> Column:
     """Share of NaN and infinite values among those present, as an aggregate."""
     return F.avg(F.when(x.isNull(), None).when(F.isnan(x) | (F.abs(x) == float("inf")), 1.0).otherwise(0.0))
@@ -47,13 +57,8 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def recall(rank: str, ks: tuple[int, ...] = (1, 5, 10)) -> list[Column]:
-    """R@k, and the lower median of the ranks, as aggregates."""
-    return [F.avg((F.col(rank) < k).cast("double")).alias(f"r_at_{k}") for k in ks] + [F.expr(f"percentile_disc(0.5) within group (order by {rank})").cast("double").alias("median_rank")]
-
-
-def cosine_summary(x: str) -> list[Column]:
-    q = F.percentile(x, F.array(F.lit(0.1), F.lit(0.9)))
-    return [F.avg(x).alias("cos_mean"), F.median(x).alias("cos_median"), q[0].alias("cos_p10"), q[1].alias("cos_p90")]
+    """R@k as aggregates."""
+    return [F.avg((F.col(rank) < k).cast("double")).alias(f"r_at_{k}") for k in ks]
 
 
 def procrustes(pred: np.ndarray, gt: np.ndarray) -> np.ndarray:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 EPS = 1e-8
 
 
@@ -65,7 +67,7 @@ def wide_moments(df: DataFrame, by: list[str], column: str, width: int) -> DataF
             types = [batch.schema.field(c).type for c in by]
             data = batch.column(column)
             off, ok, v = data.offsets.to_numpy(), data.is_valid().to_numpy(zero_copy_only=False), data.values.to_numpy(zero_copy_only=False)
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by))):
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by)) if by else [()] * len(batch)):
                 if not ok[i] or off[i + 1] == off[i] or (off[i + 1] - off[i]) % width:
                     continue
                 x = v[off[i] : off[i + 1]].reshape(-1, width).astype(np.float64)
@@ -100,8 +102,44 @@ def collapsed(values: DataFrame, entity: str, x: str = "x", most: float = 1e-5)
     return per.join(worst, entity).select(entity, "dim", "mean", "constant")
 
 
+def metric_names(df: DataFrame, metrics: str) -> DataFrame:
+    """(name): every name that some row's map of metrics has."""
+    return df.select(F.explode(F.map_keys(metrics)).alias("name")).distinct()
+
+
+def quantiles(values: DataFrame, by: list[str], x: str, shares: dict[str, float], lower: bool = False) -> DataFrame:
+    """(by, name..): exact quantiles per group, linearly interpolated (``lower``: the value at or below).
+
+    Equal values are counted first, then ranged by (group, value): the ranges' sums, a row
+    each, give every range its first rank, so no task holds a group, however large.  Nulls
+    do not count; a group without values gives no row.
+    """
+    counted = values.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    ranged = materialize(counted.repartitionByRange(*by, "_x").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_s"))
+    every = Window.partitionBy(*by)  # a row per range
+    sums = sums.select(*by, "_range", F.sum("_s").over(every).alias("_all"), (F.sum("_s").over(every.orderBy("_range")) - F.col("_s")).alias("_base"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_x")
+    same = F.expr(" and ".join([f"r.{c} <=> s.{c}" for c in [*by, "_range"]]))
+    rows = ranged.alias("r").join(sums.alias("s"), same).select(*(F.col(f"r.{c}").alias(c) for c in by), F.col("r._range").alias("_range"), "_x", "_n", "_all", "_base")
+    rows = rows.withColumn("_to", F.col("_base") + F.sum("_n").over(inside))
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n")), F.col("_x").cast("double")))
+
+    out, spots = [], {}
+    for name, q in shares.items():
+        spot = F.lit(q) * (F.col("_all") - 1)
+        if lower:
+            spot = F.greatest(F.ceil(F.lit(q) * F.col("_all")) - 1, F.lit(0))
+        spots[name] = (at(F.floor(spot)).alias(f"_a_{name}"), at(F.ceil(spot)).alias(f"_b_{name}"), F.max(spot - F.floor(spot)).alias(f"_w_{name}"))
+        out.append((F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * F.col(f"_w_{name}")).alias(name))
+    return rows.groupBy(*by).agg(*(c for three in spots.values() for c in three)).select(*by, *out)
+
+
 def summary(long: DataFrame, by: list[str], x: str = "x", finite_only: bool = True) -> DataFrame:
     """Mean, median of the two middles, least, most and count per metric."""
     if finite_only:
         long = long.where(f"`{x}` is not null and not isnan(`{x}`) and abs(`{x}`) < double('inf')")
-    return long.groupBy(*by).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(x).alias("n"))
+    plain = long.groupBy(*by).agg(F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(x).alias("n"))
+    return plain.join(quantiles(long, by, x, {"median": 0.5}), by, "left").select(*by, "mean", "median", "least", "most", "n")

@@ -65,12 +65,22 @@ def running_sums(df: DataFrame, entity: str, position: str, values: list[str], s
     return out.select(*df.columns, *((F.col(f"_b_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0.0))).alias(f"s_{v}") for v in values))
 
 
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], order: str, arrays: dict[str, int] | None = None) -> DataFrame:
     """One row per key, the one with the least ``order``, which must be unique in a key:
     second deliveries dropped.  With plain numbers beside the keys this is a hash
-    aggregate, combined before the shuffle; so select first what is needed."""
-    rest = [c for c in df.columns if c not in keys and c != order]
-    return df.groupBy(*keys).agg(*(F.min_by(c, order).alias(c) for c in rest))
+    aggregate, combined before the shuffle.
+
+    ``arrays`` names array columns and their widths: they are taken apart for it and put
+    together after; one of another width becomes null.
+    """
+    arrays = arrays or {}
+    parts = {name: [f"_{name}_{i}" for i in range(width)] for name, width in arrays.items()}
+    plain = [c for c in df.columns if c not in arrays]
+    flat = df.select(*plain, *((F.size(name) == width).alias(f"_{name}") for name, width in arrays.items()), *(F.get(name, F.lit(i)).alias(p) for name, ps in parts.items() for i, p in enumerate(ps)))
+    rest = [c for c in flat.columns if c not in keys and c != order]
+    once = flat.groupBy(*keys).agg(*(F.min_by(c, order).alias(c) for c in rest))
+    whole = {name: F.when(F.col(f"_{name}"), F.array(*ps)).alias(name) for name, ps in parts.items()}
+    return once.select(*keys, *(whole.get(c, c) for c in df.columns if c not in keys and c != order))
 
 
 def path_length(df: DataFrame, entity: str, x: str, z: str) -> DataFrame:

@@ -32,6 +32,29 @@ def clip_checks(width: int = 499, joints: int = 231, fps: float = 50.0) -> tuple
     return failures, warnings, {"records": n, "fps": F.col("fps")}
 
 
+def recording_report(readings: DataFrame, rates: DataFrame) -> DataFrame:
+    """(rec_id, n, n_bad, y_mean, y_min, y_max, speed_p99, no_contact, odd_rate) of recordings as they came in.
+
+    ``readings`` has (rec_id, root_traj, foot_contact), ``rates`` (rec_id, fps).  A reading
+    with a missing or infinite value is bad; a recording in which no foot is ever down fails;
+    a rate outside 5 to 240 is odd.  The speed is that over the floor, metres a second.
+    """
+    traj, contact = F.col("root_traj"), F.col("foot_contact")
+
+    def value(array, i):
+        return F.when(finite(F.get(array, F.lit(i))), F.get(array, F.lit(i)).cast("double"))
+
+    bad = F.coalesce(F.exists(traj, lambda v: ~finite(v)), F.lit(True))
+    v = readings.select("rec_id", bad.alias("bad"), value(traj, 4).alias("y"), F.sqrt(value(traj, 2) ** 2 + value(traj, 3) ** 2).alias("step"), *(value(contact, i).alias(f"c{i}") for i in range(4)))
+    s = v.groupBy("rec_id").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.avg("y").alias("y_mean"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
+        F.percentile("step", F.lit(0.99)).alias("step"), F.greatest(*(F.avg(f"c{i}") for i in range(4))).alias("most"),
+    )
+    fps = F.col("fps")
+    s = s.join(rates, "rec_id", "left")
+    return s.select("rec_id", "n", "n_bad", "y_mean", "y_min", "y_max", (F.col("step") * fps).alias("speed_p99"), F.coalesce(F.col("most") < 1e-6, F.lit(False)).alias("no_contact"), F.coalesce((fps < 5) | (fps > 240), F.lit(False)).alias("odd_rate"))
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, with their side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

@@ -27,6 +27,12 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows as dicts, arrays as NumPy views."""
+    for i in range(len(batch)):
+        yield {name: (v.values.to_numpy(zero_copy_only=False) if pa.types.is_list(v.type) and v.is_valid else v.as_py()) for name, v in ((n, batch.column(k)[i]) for k, n in enumerate(batch.schema.names))}
+
+
 def convert(recordings: DataFrame, target: float = motion.FPS) -> DataFrame:
     """Feature clips of recordings (rec_id, fps, joints array of T*231, poses array of T*231)."""
     if not target > 0:
@@ -42,8 +48,7 @@ def convert(recordings: DataFrame, target: float = motion.FPS) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                r = batch.slice(i, 1).to_pylist()[0]
+            for r in rows_of(batch):
                 try:
                     row = one(r)
                 except Exception as e:  # any bad recording is a row
@@ -59,8 +64,7 @@ def decode(clips: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                r = batch.slice(i, 1).to_pylist()[0]
+            for r in rows_of(batch):
                 try:
                     m, place, down = motion.decode(np.array(r["features"], np.float64).reshape(-1, RECORD_WIDTH), r["init_root_pos"], r["init_root_rot6d"], r["init_joints76_rot6d"])
                     row = {"poses": motion.axis_angles(m).ravel(), "transl": place.ravel(), "foot_contacts": down.ravel(), "error": None}
@@ -87,31 +91,126 @@ def materialize(release: DataFrame, datasets: list[str] | None = None, ids: Data
 def fixed_windows(clips: DataFrame, width: int = 64, step: int = 32, cap: int = 64) -> DataFrame:
     """(row_id, rec_id, start, features): every window of every clip, cut from the clip's own row."""
     n = F.floor(F.size("features") / RECORD_WIDTH).cast("int")
-    plan = clips.where("features is not null").withColumn("_s", windows.window_starts(n, width, step, cap))
-    cut = F.slice("features", F.col("start") * RECORD_WIDTH + 1, width * RECORD_WIDTH)
-    return plan.select("row_id", "rec_id", "features", F.explode("_s").alias("start")).select("row_id", "rec_id", "start", cut.alias("features"))
+    cut = lambda at: F.struct(at.alias("start"), F.slice("features", at * RECORD_WIDTH + 1, width * RECORD_WIDTH).alias("features"))
+    each = F.transform(windows.window_starts(n, width, step, cap), cut)  # cut first: no copy of the clip per window
+    return clips.where("features is not null").select("row_id", "rec_id", F.explode(each).alias("w")).select("row_id", "rec_id", "w.start", "w.features")
 
 
-def ragged(clips: DataFrame, least: int = 48, most: int = 300, stride: int = 4) -> DataFrame:
-    """(row_id, rec_id, take, offset, row_no, features): the head of every clip long enough."""
+def ragged_parts(clips: DataFrame, least: int = 48, most: int = 300, stride: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Index (row_id, rec_id, take, offset, row_no) and data (row_id, features) of the heads of
+    all clips long enough.  Only the index is put in order; the wide heads stay where they are."""
     if not 0 < stride <= least <= most:
         raise ValueError("lengths must satisfy 0 < stride <= least <= most")
     n = F.floor(F.size("features") / RECORD_WIDTH).cast("int")
     taken = clips.where("features is not null").withColumn("take", windows.take_length(n, least, most, stride)).where("take is not null")
-    plan = windows.running_offsets(taken.select("row_id", "rec_id", "take"), ["row_id"], "take")
-    heads = taken.select("row_id", F.slice("features", F.lit(1), F.col("take") * RECORD_WIDTH).alias("features"))
-    return plan.join(heads, "row_id")
+    index = windows.running_offsets(taken.select("row_id", "rec_id", "take"), ["row_id"], "take")
+    return index, taken.select("row_id", F.slice("features", F.lit(1), F.col("take") * RECORD_WIDTH).alias("features"))
+
+
+def ragged(clips: DataFrame, least: int = 48, most: int = 300, stride: int = 4) -> DataFrame:
+    """(row_id, rec_id, take, offset, row_no, features): the head of every clip long enough."""
+    index, data = ragged_parts(clips, least, most, stride)
+    return index.join(data, "row_id")
+
+
+def crops(clips: DataFrame, width: int, seed: int = 0, fps: float = motion.FPS) -> DataFrame:
+    """(row_id, start, features, joints77_pos, init_.., error): one random window of every clip, with the pose it starts from.
+
+    The anchor of a window inside the clip is the pose of the record before it and the root's
+    place in its first frame.  A clip of another rate, or too short, gives an error.
+    """
+    n = F.floor(F.size("features") / RECORD_WIDTH).cast("int")
+    error = (
+        F.when(F.col("features").isNull() | F.col("joints77_pos").isNull(), "no features or positions")
+        .when(~(F.abs(F.col("fps") - fps) <= 1e-3) | F.col("fps").isNull(), "other rate")
+        .when(n < width, "too short")
+        .when((F.size("features") != n * RECORD_WIDTH) | (F.size("joints77_pos") != (n + 1) * 231), "ragged")
+    )
+    rows = clips.select("*", error.alias("error"), windows.crop_start(F.col("row_id"), n, width, seed).alias("start"))
+    s, fine = F.col("start"), F.col("error").isNull()
+    before = (s - 1) * RECORD_WIDTH
+    (turn, turn_width), (pose, pose_width) = (slices()[k] for k in ("root_rot6d", "joints76_rot6d"))
+
+    def anchor(own, inside):
+        return F.when(fine, F.when(s == 0, F.col(own)).otherwise(inside)).alias(own)
+
+    return rows.select(
+        "row_id",
+        F.when(fine, s).alias("start"),
+        F.when(fine, F.slice("features", s * RECORD_WIDTH + 1, width * RECORD_WIDTH)).alias("features"),
+        F.when(fine, F.slice("joints77_pos", s * 231 + 1, (width + 1) * 231)).alias("joints77_pos"),
+        anchor("init_root_pos", F.slice("joints77_pos", F.greatest(s, F.lit(0)) * 231 + 1, 3)),
+        anchor("init_root_rot6d", F.slice("features", F.greatest(before, F.lit(0)) + turn + 1, turn_width)),
+        anchor("init_joints76_rot6d", F.slice("features", F.greatest(before, F.lit(0)) + pose + 1, pose_width)),
+        "error",
+    )
+
+
+def batch_crops(clips: DataFrame, batch: str, length: str, stride: int = 4, seed: int = 0, aligned: bool = False) -> DataFrame:
+    """Adds (crop, start): every clip is cut to the shortest of its batch, a multiple of the
+    stride; with ``aligned`` starts, too, are multiples of it, as tokens are."""
+    least = clips.groupBy(batch).agg(F.min(length).alias("_least"))
+    crop = F.greatest(F.floor(F.col("_least") / stride) * stride, F.lit(stride)).cast("int")
+    step = stride if aligned else 1
+    rows = clips.join(least, batch).withColumn("crop", crop).drop("_least")
+    return rows.withColumn("start", F.coalesce(windows.crop_start(F.col("row_id"), F.col(length) - F.col("crop"), 0, seed, step), F.lit(0)))
+
+
+def collated(rows: DataFrame, batch: str, place: str, columns: list[str]) -> DataFrame:
+    """(batch, column..): the rows of each batch as arrays in the order of their places."""
+    packed = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(place, *columns))).alias("_r"))  # as many as a batch holds
+
+    def only(c):
+        return F.transform("_r", lambda e: e[c]).alias(c)
+
+    return packed.select(batch, *map(only, columns))
+
+
+def tokens_of(clips: DataFrame, tokens: DataFrame, length: str = "take", stride: int = 4) -> DataFrame:
+    """Clips (row_id, length) with their tokens (row_id, token, ..) in order, and whether there
+    are as many as the length asks for: (row_id, n_tokens, complete, tokens)."""
+    packed = tokens.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("token", *(c for c in tokens.columns if c not in ("row_id", "token"))))).alias("tokens"), F.count("*").alias("n_tokens"))
+    rows = clips.select("row_id", length).join(packed, "row_id", "left")
+    n = F.coalesce("n_tokens", F.lit(0))
+    return rows.select("row_id", n.alias("n_tokens"), (n == F.floor(F.col(length) / stride)).alias("complete"), "tokens")
+
+
+def outcomes(release: DataFrame, least: int, done: DataFrame) -> DataFrame:
+    """(row_id, status): what a run does with each row: written, skipped (done before), short or failed."""
+    n = F.size("features") / RECORD_WIDTH
+    rows = release.select("row_id", "rec_id", "features").join(done.select(F.col("rec_id"), F.lit(True).alias("_done")).distinct(), "rec_id", "left")
+    status = F.when(F.col("_done"), "skipped").when(F.col("features").isNull() | (n != F.floor(n)), "failed").when(n < least, "short").otherwise("written")
+    return rows.select("row_id", status.alias("status"))
 
 
-def look_up(table: DataFrame, ids: list[int], key: str = "row_id") -> DataFrame:
-    """Rows of a list of ids, in any order."""
-    return table.where(F.col(key).isin(ids))
+def look_up(table: DataFrame, ids: list[int], key: str = "row_id", most: int = 1 << 16) -> DataFrame:
+    """Rows of a list of ids, each once, in any order; a list of up to ``most`` goes to every task."""
+    wanted = table.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], f"`{key}` {table.schema[key].dataType.simpleString()}")
+    return table.join(F.broadcast(wanted) if len(ids) <= most else wanted, key, "left_semi")
 
 
 def normalization(clips: DataFrame, fps: float = motion.FPS) -> DataFrame:
     """(dim, n, mean, std) over clips of one rate; binary dimensions are left alone."""
-    same = clips.where(F.abs(F.col("fps") - fps) <= 1e-3).withColumn("_all", F.lit(0))
-    return stats.packed(stats.wide_moments(same, ["_all"], "features", RECORD_WIDTH).drop("_all"), slices()["foot_contact"][0])
+    same = clips.where(F.abs(F.col("fps") - fps) <= 1e-3)
+    return stats.packed(stats.wide_moments(same, [], "features", RECORD_WIDTH), slices()["foot_contact"][0])
+
+
+def field_of(dim: F.Column) -> F.Column:
+    """Name of the field a dimension lies in."""
+    out = F.lit(None).cast("string")
+    for name, (start, width) in slices().items():
+        out = F.when((dim >= start) & (dim < start + width), name).otherwise(out)
+    return out
+
+
+def field_statistics(clips: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, i, n, mean, std, rate): moments of every dimension under its field's name and
+    its number there; of contacts the rate instead of the deviation."""
+    m = stats.wide_moments(clips, by, "features", RECORD_WIDTH)
+    start = F.create_map(*(x for name, (at, _) in slices().items() for x in (F.lit(name), F.lit(at))))
+    m = m.withColumn("field", field_of(F.col("dim")))
+    binary = F.col("field") == "foot_contact"
+    return m.select(*by, "field", (F.col("dim") - start[F.col("field")]).cast("int").alias("i"), "n", "mean", F.when(~binary, F.col("std")).alias("std"), F.when(binary, F.col("mean")).alias("rate"))
 
 
 def mean_pool(x: np.ndarray) -> np.ndarray:

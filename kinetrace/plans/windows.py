@@ -93,9 +93,11 @@ def length_batches(df: DataFrame, position: str, length: str, batch: int, mega:
     return out.select(*df.columns, "mega", F.floor(F.col("_k") / batch).cast("long").alias("batch_no"), (F.col("_k") % batch).cast("long").alias("place"))
 
 
-def crop_start(key: Column, n: Column, width: int, seed: int = 0) -> Column:
-    """Start of a random crop that depends on key and seed alone."""
-    return F.when(n >= width, F.pmod(F.xxhash64(key, F.lit(seed)), n - width + 1).cast("int"))
+def crop_start(key: Column, n: Column, width: int, seed: int = 0, stride: int = 1) -> Column:
+    """Start of a random crop, a multiple of the stride, that depends on key and seed alone;
+    null where the clip is too short."""
+    mixed = F.pmod(F.pmod(key.cast("long"), F.lit(1 << 30)) * 2654435761 + (seed * 40503 + 12345), F.lit(1 << 31))
+    return F.when(n >= width, (F.pmod(F.shiftright(mixed, 7), F.floor((n - width) / stride) + 1) * stride).cast("int"))
 
 
 def sampled(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:

@@ -30,10 +30,13 @@ def r6(x: str) -> str:
     return f"case when isfinite({x}) then round({x} + 1e-9, 6) end"
 
 
+WIDTHS = {"root_traj": 9, "root_rot6d": 6, "foot_contact": 4}
+
+
 def readings(spark, sf_dir, *columns: str):
-    """The first delivery of each reading, with the columns asked for."""
+    """The first delivery of each reading, with the array columns asked for; arrays of another width than theirs are null."""
     rows = table(spark, sf_dir, "feature_fields").where("rec_id is not null and t is not null")
-    return temporal.latest(rows.select("rec_id", "source", "t", "row_id", *columns), ["rec_id", "source", "t"], "row_id")
+    return temporal.latest(rows.select("rec_id", "source", "t", "row_id", *columns), ["rec_id", "source", "t"], "row_id", {c: WIDTHS[c] for c in columns})
 
 
 NAMES = ("lx", "lz", "wx", "wz", "y")
@@ -89,7 +92,7 @@ def planar_p95(spark, sf_dir):
 @query(f"""with {READINGS}, p as (select source, unnest(list_concat(root_traj, root_rot6d, foot_contact)) as x, unnest(range(1, 20)) as i from readings
   where len(root_traj) = 9 and len(root_rot6d) = 6 and len(foot_contact) = 4)
 select source, {r6("sum(cast(x as double)) filter (i <= 9)")} as root_traj, {r6("sum(cast(x as double)) filter (i between 10 and 15)")} as root_rot6d, {r6("sum(cast(x as double)) filter (i > 15)")} as foot_contact
-from p where isfinite(x) and abs(x) < 1000 group by source""")
+from p where isfinite(x) group by source""")
 def field_slices(spark, sf_dir):
     """Fields packed into one vector and cut out again by their slices."""
     rows = readings(spark, sf_dir, "root_traj", "root_rot6d", "foot_contact").where("size(root_traj) = 9 and size(root_rot6d) = 6 and size(foot_contact) = 4")
@@ -97,7 +100,7 @@ def field_slices(spark, sf_dir):
 
     def total(start, width):
         x = lambda v: v.cast("double")
-        return F.aggregate(part(F.col("v"), start, width), F.lit(0.0), lambda s, v: s + F.when(finite(v) & (F.abs(v) < 1000), x(v)).otherwise(0.0))
+        return F.aggregate(part(F.col("v"), start, width), F.lit(0.0), lambda s, v: s + F.when(finite(v), x(v)).otherwise(0.0))
 
     sums = packed.select("source", total(0, 9).alias("a"), total(9, 6).alias("b"), total(15, 4).alias("c")).groupBy("source").agg(*(F.sum(c).alias(c) for c in "abc"))
     return sums.select("source", *(rounded(F.col(c)).alias(n) for c, n in zip("abc", ("root_traj", "root_rot6d", "foot_contact"))))
@@ -157,11 +160,10 @@ def multi_horizon(spark, sf_dir):
     return temporal.rates(values(spark, sf_dir), "rec_id", "t", ["y"], 10).select("rec_id", "t", rounded(F.col("r_y")).alias("r"))
 
 
-@query(f"with {VALUES}, c as (select rec_id, t, coalesce(sum(case when abs(wx) < 1000 then wx end) over (partition by rec_id order by t), 0) as s from vals) select rec_id, t, {r6('s')} as s from c")
+@query(f"with {VALUES}, c as (select rec_id, t, coalesce(sum(wx) over (partition by rec_id order by t), 0) as s from vals) select rec_id, t, {r6('s')} as s from c")
 def cumsum(spark, sf_dir):
     """Running floor position, in stretches with a base each."""
-    v = values(spark, sf_dir).withColumn("wx", F.when(F.abs("wx") < 1000, F.col("wx")))
-    return temporal.running_sums(v, "rec_id", "t", ["wx"]).select("rec_id", "t", rounded(F.col("s_wx")).alias("s"))
+    return temporal.running_sums(values(spark, sf_dir), "rec_id", "t", ["wx"]).select("rec_id", "t", rounded(F.col("s_wx")).alias("s"))
 
 
 @query(f"""with {VALUES}, d as (select source, y - lag(y) over (partition by rec_id order by t) as d from vals)
@@ -252,11 +254,11 @@ def rot6d_gramschmidt(spark, sf_dir):
     return matrices(spark, sf_dir).select("rec_id", "t", *(rounded(at(F.col("m"), i)).alias(f"m{i}") for i in range(9)))
 
 
-@query(f"""with {READINGS}, {GRAM}, h as (select rec_id, t, atan2(c1, c3) as h, cast(root_traj[3] as double) as x, cast(root_traj[4] as double) as z from mats where abs(root_traj[3]) < 1000 and abs(root_traj[4]) < 1000)
+@query(f"""with {READINGS}, {GRAM}, h as (select rec_id, t, atan2(c1, c3) as h, cast(root_traj[3] as double) as x, cast(root_traj[4] as double) as z from mats where isfinite(root_traj[3]) and isfinite(root_traj[4]))
 select rec_id, t, {r6("cos(h) * x - sin(h) * z")} as lx, {r6("sin(h) * x + cos(h) * z")} as lz from h""")
 def yaw_rotate(spark, sf_dir):
     """Floor steps seen from the reading's own heading."""
-    m = matrices(spark, sf_dir).select("rec_id", "t", R.yaw(F.col("m")).alias("h"), at(F.col("root_traj"), 2).alias("x"), at(F.col("root_traj"), 3).alias("z")).where("abs(x) < 1000 and abs(z) < 1000 and not isnan(x) and not isnan(z)")
+    m = matrices(spark, sf_dir).select("rec_id", "t", R.yaw(F.col("m")).alias("h"), at(F.col("root_traj"), 2).alias("x"), at(F.col("root_traj"), 3).alias("z")).where(finite(F.col("x")) & finite(F.col("z")))
     x, z = R.into_heading(F.col("x"), F.col("z"), F.col("h"))
     return m.select("rec_id", "t", rounded(x).alias("lx"), rounded(z).alias("lz"))
 
@@ -273,7 +275,7 @@ def geodesic(spark, sf_dir):
 
 
 STEPS = f"""{READINGS}, {GRAM}, h as (select rec_id, t, atan2(c1, c3) as h, cast(root_traj[1] as double) as lx, cast(root_traj[2] as double) as lz, cast(root_traj[3] as double) as wx, cast(root_traj[4] as double) as wz, cast(root_traj[5] as double) as y from mats
-  where isfinite(root_traj[5]) and abs(root_traj[1]) < 1000 and abs(root_traj[2]) < 1000 and abs(root_traj[3]) < 1000 and abs(root_traj[4]) < 1000),
+  where isfinite(root_traj[5]) and isfinite(root_traj[1]) and isfinite(root_traj[2]) and isfinite(root_traj[3]) and isfinite(root_traj[4])),
 steps as (select rec_id, t, y, 0.5 * (cos(h) * lx + sin(h) * lz) + 0.5 * wx as dx, 0.5 * (cos(h) * lz - sin(h) * lx) + 0.5 * wz as dz from h)"""
 
 
@@ -282,9 +284,9 @@ def step_rows(spark, sf_dir):
 
     r = readings(spark, sf_dir, "root_traj", "root_rot6d").where("size(root_rot6d) = 6").where(F.forall("root_rot6d", lambda v: finite(v)))
     traj = F.col("root_traj")
-    for i in range(4):
-        r = r.where(F.abs(at(traj, i)) < 1000).where(~F.isnan(at(traj, i)))
-    return steps(r.where(finite(at(traj, 4))))
+    for i in range(5):
+        r = r.where(finite(at(traj, i)))
+    return steps(r)
 
 
 @query(f"with {STEPS}, s as (select rec_id, t, y, sum(dx) over w as x, sum(dz) over w as z from steps window w as (partition by rec_id order by t)) select rec_id, t, {r6('x')} as x, {r6('y')} as y, {r6('z')} as z from s")
@@ -359,7 +361,7 @@ def binary_f1(spark, sf_dir):
 
 
 @query(f"""with {READINGS}, c as (select source, cast(root_traj[5] as double) as l, cast(foot_contact[1] as double) as y, cast(root_traj[3] as double) - cast(root_traj[1] as double) as d from readings
-  where abs(root_traj[5]) < 50 and abs(root_traj[3]) < 50 and abs(root_traj[1]) < 50 and isfinite(foot_contact[1])),
+  where isfinite(root_traj[5]) and isfinite(root_traj[3]) and isfinite(root_traj[1]) and isfinite(foot_contact[1])),
 e as (select source, l, y, d, 1 / (1 + exp(-l)) as p, greatest(l, 0) + ln(1 + exp(-abs(l))) as sp, greatest(-l, 0) + ln(1 + exp(-abs(l))) as sn from c)
 select source, {r6("avg(case when abs(d) < 1 then 0.5 * d * d else abs(d) - 0.5 end)")} as huber, {r6("avg(2.0 * y * sn + (1 - y) * sp)")} as bce,
   {r6("avg((0.5 * y + 0.5 * (1 - y)) * pow(1 - (y * p + (1 - y) * (1 - p)), 2) * (y * sn + (1 - y) * sp))")} as focal from e group by source""")
@@ -367,9 +369,8 @@ def huber_bce_focal(spark, sf_dir):
     """Smooth L1, weighted cross-entropy and focal loss."""
     traj = F.col("root_traj")
     c = readings(spark, sf_dir, "root_traj", "foot_contact").select("source", at(traj, 4).alias("l"), at(F.col("foot_contact"), 0).alias("y"), at(traj, 2).alias("a"), at(traj, 0).alias("b"))
-    for k in "lab":
-        c = c.where(F.abs(k) < 50).where(~F.isnan(k))
-    c = c.where(finite(F.col("y")))
+    for k in "laby":
+        c = c.where(finite(F.col(k)))
     d, l, y = F.col("a") - F.col("b"), F.col("l"), F.col("y")
     return c.groupBy("source").agg(rounded(F.avg(losses.huber(d))).alias("huber"), rounded(F.avg(losses.bce(l, y, 2.0))).alias("bce"), rounded(F.avg(losses.focal(l, y))).alias("focal"))
 

@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..functions.vectors import rounded
 from ..operators import codes, losses, matching, metrics, spikes, stats, validate
 from ..plans import windows
+from ..shared import materialize
 from ..sources import files
 from .series import r6
 
@@ -39,7 +40,7 @@ def long(spark, sf_dir):
 @query(f"with {E} select cast(dim as int) as dim, count(*) as n, {r6('avg(x)')} as mean, {r6('sqrt(var_pop(x) + 1e-8)')} as std from e group by dim")
 def dim_stats(spark, sf_dir):
     """Count, mean and deviation of every dimension."""
-    m = stats.moments(long(spark, sf_dir), ["dim"])
+    m = stats.wide_moments(emb(spark, sf_dir), [], "embedding", 64)
     return m.select("dim", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
 
 
@@ -47,7 +48,7 @@ Z = f"{E}, s as (select dim, avg(x) as mu, greatest(sqrt(var_pop(x) + 1e-8), 1e-
 
 
 def _normal(spark, sf_dir):
-    one = stats.as_vectors(stats.packed(stats.moments(long(spark, sf_dir), ["dim"]), 1 << 30))
+    one = stats.as_vectors(stats.packed(stats.wide_moments(emb(spark, sf_dir), [], "embedding", 64), 1 << 30))
     return emb(spark, sf_dir).crossJoin(F.broadcast(one))  # one row
 
 
@@ -150,14 +151,72 @@ def prefix_decode(spark, sf_dir):
     return out
 
 
-@query(f"""with {ASSIGN}, m as (select code, i - 1 as dim, x::double as x from (select code, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from a)),
-s as (select code, dim, sum(x) as s, count(*) as n from m group by code, dim), l as (select code, i - 1 as dim, x::double as c from (select code, unnest(v) as x, generate_subscripts(v, 1) as i from b))
-select l.code::bigint as code, l.dim::int as dim, {r6("0.9 + 0.1 * coalesce(n, 0)")} as size, {r6("(0.9 * c + 0.1 * coalesce(s, 0)) / (0.9 + 0.1 * coalesce(n, 0))")} as c from l left join s on l.code = s.code and l.dim = s.dim""")
+def _near(vectors: str, book: str, out: str) -> str:
+    """SQL of the nearest code of each vector."""
+    return f"{out} as (select * from (select *, row_number() over (partition by vec_id order by dist, code) as k from (select vec_id, embedding, code, {DIST.format(a='embedding', b='v')} as dist from {vectors}, {book})) where k = 1)"
+
+
+def _after(assigned: str, state: str, out: str) -> str:
+    """SQL of a codebook's state after a batch: (code, dim, total, size, c)."""
+    return f"""{out}_m as (select code, i - 1 as dim, x::double as x from (select code, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from {assigned})),
+{out}_s as (select code, dim, sum(x) as s, count(*) as n from {out}_m group by code, dim),
+{out}_r as (select vec_id, row_number() over (order by vec_id) - 1 as p, count(*) over () as n, embedding from {assigned}),
+{out}_k as (select code, row_number() over (order by code) - 1 as k, count(*) over () as most from (select distinct code from {state})),
+{out}_x as (select code, embedding from {out}_k join {out}_r on p = k % least(n, most)),
+{out}_u as (select t.code, t.dim, 0.9 * t.total + 0.1 * coalesce(s.s, 0) as total, 0.9 * t.size + 0.1 * coalesce(s.n, 0) as size, embedding[t.dim + 1]::double as spare from {state} t left join {out}_s s on t.code = s.code and t.dim = s.dim left join {out}_x x on x.code = t.code),
+{out} as (select code, dim, total, size, case when size >= 1 then total / size else spare end as c from {out}_u)"""
+
+
+EMA = f"""{BOOK}, s0 as (select code, i - 1 as dim, x::double as total, 1.0::double as size, x::double as c from (select code, unnest(v) as x, generate_subscripts(v, 1) as i from b)),
+e1 as (select vec_id, embedding from embeddings where vec_id % 3 = 0), {_near('e1', 'b', 'a1')}, {_after('a1', 's0', 's1')},
+b1 as (select code, list(c order by dim) as v from s1 group by code), e2 as (select vec_id, embedding from embeddings where vec_id % 3 <> 0), {_near('e2', 'b1', 'a2')}, {_after('a2', 's1', 's2')}"""
+
+
+@query(f"with {EMA} select code::bigint as code, dim::int as dim, {r6('size')} as size, {r6('total')} as total, {r6('c')} as c from s2")
 def ema_update(spark, sf_dir):
-    """Codebook after one averaged update."""
-    b = _long_book(spark, sf_dir).withColumn("code", F.col("code").cast("long"))
-    u = codes.updated(_assigned(spark, sf_dir), long(spark, sf_dir), "vec_id", b, 0.9)
-    return u.select("code", "dim", rounded(F.col("size")).alias("size"), rounded(F.col("c")).alias("c"))
+    """Codebook after two batches of averaged updates, dead codes replaced: a third of the vectors, then the others."""
+    state = materialize(codes.fresh(_long_book(spark, sf_dir).withColumn("code", F.col("code").cast("long"))))
+    for own in ("vec_id % 3 = 0", "vec_id % 3 <> 0"):
+        batch = emb(spark, sf_dir).where(own)
+        assigned = matching.quantized(batch, "vec_id", "embedding", [matching.codebook(*codes.as_book(state))])
+        state = materialize(codes.updated(state, assigned, stats.exploded(batch, ["vec_id"], "embedding"), "vec_id", 0.9))
+    return state.select("code", "dim", *(rounded(F.col(c)).alias(c) for c in ("size", "total", "c")))
+
+
+@query(f"with {LAYERS} select 0 as layer, {r6('avg(dist0 / 64)')} as loss from a2 union all select 1, {r6('avg(dist / 64)')} from a2")
+def commitment_loss(spark, sf_dir):
+    """Mean square distance of what each layer quantizes to its code."""
+    return _assigned(spark, sf_dir, 2).groupBy("layer").agg(rounded(losses.commitment(F.col("dist"), 64)).alias("loss"))
+
+
+@query(f"with {LAYERS}, x as (select vec_id, unnest(list_zip(v0, v)) as p, unnest(range(0, 64)) as dim from a2) select vec_id, cast(dim as int) as dim, {r6('p[1]::double + p[2]::double')} as x from x")
+def vq_decode(spark, sf_dir):
+    """Vectors decoded from the codes of two layers."""
+    books = _long_book(spark, sf_dir).withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = matching.dequantized(_assigned(spark, sf_dir, 2), "vec_id", books)
+    return d.select("vec_id", "dim", rounded(F.col("x")).alias("x"))
+
+
+@query(f"""with {ASSIGN}, r as (select *, row_number() over (partition by vec_id order by dist, code) as k from (select vec_id, b.code, {DIST.format(a='embedding', b='b.v')} as dist, b.v from embeddings, b)),
+s as (select a.vec_id, a.code as sem, a.v as sv, r.code as res, r.v as rv from a join r on a.vec_id = r.vec_id and r.k = 1), x as (select vec_id, unnest(list_zip(sv, rv)) as p from s)
+select vec_id, cast(max(sem) as bigint) as semantic, cast(max(res) as bigint) as residual, {r6('sum(p[1]::double + p[2]::double)')} as total from s join x using (vec_id) group by vec_id""")
+def split_vq(spark, sf_dir):
+    """Two branches that both quantize the whole vector: their codes side by side, their code vectors summed."""
+    b = matching.codebook(book(spark, sf_dir), "code", "v", 64)
+    c = matching.split_quantized(emb(spark, sf_dir), "vec_id", "embedding", b, [b])
+    books = _long_book(spark, sf_dir).withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    total = matching.dequantized(c, "vec_id", books).groupBy("vec_id").agg(F.sum("x").alias("total"))
+    side = c.groupBy("vec_id").agg(F.max(F.when(F.col("layer") == 0, F.col("code"))).alias("semantic"), F.max(F.when(F.col("layer") == 1, F.col("code"))).alias("residual"))
+    return side.join(total, "vec_id").select("vec_id", "semantic", "residual", rounded(F.col("total")).alias("total"))
+
+
+@query(f"""with {ASSIGN}, c as (select label, vec_id % 7 <> 0 as present, list_dot_product(embedding::double[], v::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(v::double[], v::double[]))) as c from a)
+select label, {r6('avg(1 - c)')} as loss, {r6('coalesce(sum(1 - c) filter (present), 0) / greatest(1, count(*) filter (present))')} as masked from c group by label""")
+def distill_loss(spark, sf_dir):
+    """Cosine loss of vectors against a teacher (their code), and with every seventh teacher missing."""
+    a = _assigned(spark, sf_dir).select("vec_id", "code").join(book(spark, sf_dir).withColumn("code", F.col("code").cast("long")), "code")
+    c = emb(spark, sf_dir).join(a, "vec_id").select("label", V.cosine(F.col("embedding"), F.col("v")).alias("c"), (F.col("vec_id") % 7 != 0).alias("present"))
+    return c.groupBy("label").agg(rounded(losses.cosine_loss(F.col("c"))).alias("loss"), rounded(losses.cosine_loss(F.col("c"), F.col("present"))).alias("masked"))
 
 
 K = "k as (select event_type, user_id, try_cast(json_extract_string(props, '$.k') as int) as code from events)"
@@ -248,7 +307,8 @@ def retrieval_ranks(spark, sf_dir):
 @query(f"with {RANKS} select {r6('avg((rank < 1)::double)')} as r_at_1, {r6('avg((rank < 5)::double)')} as r_at_5, {r6('avg((rank < 10)::double)')} as r_at_10, quantile_disc(rank, 0.5)::double as median_rank from ranks")
 def recall_at_k(spark, sf_dir):
     """R@1, R@5, R@10 and the lower median rank."""
-    r = _ranks(spark, sf_dir).agg(*metrics.recall("rank"))
+    ranks = materialize(_ranks(spark, sf_dir))
+    r = ranks.agg(*metrics.recall("rank")).crossJoin(stats.quantiles(ranks, [], "rank", {"median_rank": 0.5}, lower=True))  # one row each
     return r.select(*(rounded(F.col(c)).alias(c) for c in ("r_at_1", "r_at_5", "r_at_10")), "median_rank")
 
 
@@ -258,7 +318,8 @@ def cos_summary(spark, sf_dir):
     """Cosines between vectors and their codes."""
     a = _assigned(spark, sf_dir).select("vec_id", "code").join(book(spark, sf_dir).withColumn("code", F.col("code").cast("long")), "code")
     c = emb(spark, sf_dir).join(a, "vec_id").select(V.cosine(F.col("embedding"), F.col("v")).alias("c"))
-    s = c.agg(*metrics.cosine_summary("c"))
+    c = materialize(c)
+    s = c.agg(F.avg("c").alias("cos_mean")).crossJoin(stats.quantiles(c, [], "c", {"cos_median": 0.5, "cos_p10": 0.1, "cos_p90": 0.9}))  # one row each
     return s.select(*(rounded(F.col(n)).alias(n) for n in s.columns))
 
 
@@ -332,10 +393,16 @@ def uri_resolve(spark, sf_dir):
     return table(spark, sf_dir, "recordings").select("manifest_line", files.resolved_uri(F.col("uri"), "/data").alias("path"))
 
 
+@query("""select sha256(string_agg(rec_id || chr(0) || uri || chr(10), '' order by manifest_line, rec_id, uri)) as sha256, count(*) as n from recordings where rec_id is not null and uri is not null""")
+def manifest_hash(spark, sf_dir):
+    """Hash of the manifest's lines in order."""
+    return files.ordered_hash(table(spark, sf_dir, "recordings").where("rec_id is not null and uri is not null"), ["manifest_line", "rec_id", "uri"], ["rec_id", "uri"])
+
+
 @query("""with p as (select manifest_line // 65536 as g, manifest_line as p, rec_id || chr(0) || uri || chr(0) || chr(10) as s from recordings where rec_id is not null and uri is not null),
 h as (select g, sha256(string_agg(s, '' order by p, s)) as h from p group by g) select sha256(string_agg(h, '' order by g)) as sha256 from h""")
-def manifest_hash(spark, sf_dir):
-    """Hash of the manifest in order, by ranges."""
+def range_hash(spark, sf_dir):
+    """Hash of the manifest by ranges: cheap to compute, comparable only with its own kind."""
     return files.fingerprint(table(spark, sf_dir, "recordings").where("rec_id is not null and uri is not null"), "manifest_line", "rec_id", "uri")
 
 

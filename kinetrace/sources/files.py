@@ -119,6 +119,41 @@ def read_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out.where((F.col("entry") != "") & ~F.col("entry").startswith("#"))
 
 
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def parent_name(path: Column) -> Column:
+    """Name of the folder a file lies in; null where the path names none."""
+    return F.try_element_at(F.split(path, "/"), F.lit(-2))
+
+
+def with_suffix(path: Column, suffix: str) -> Column:
+    """The path with its last suffix, if any, replaced."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(suffix))
+
+
+def comma_set(x: Column) -> Column:
+    """The words of a list written with commas, each once, without blanks around them."""
+    words = F.transform(F.split(x, ","), lambda w: F.trim(w))
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
+def head(entries: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` entries in order; 0 for all."""
+    return entries if not n else entries.orderBy(*order).limit(n)
+
+
+def discover(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """(path, split) of the Parquet files below a folder, or its part of one split, in the order
+    of their names; the split is the folder a file lies in.  No file is an error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{folder}/{split}" if split else folder)
+    paths = found.select("path", parent_name(F.col("path")).alias("split")).orderBy("path")
+    if paths.isEmpty():
+        raise FileNotFoundError(f"no Parquet files below {folder}")
+    return paths
+
+
 EVENTS = "rec_id string, events array<struct<start_time: double, end_time: double>>"
 
 
@@ -153,6 +188,24 @@ def dumps(stats: dict) -> str:
     return json.dumps(stats, sort_keys=True)
 
 
+def ordered_hash(entries: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """(sha256, n) of all entries in order: the fields of each with a zero byte between them and a
+    newline after.  A hash of a sequence is made one entry after the other: the entries are
+    sorted by many tasks and pass through the last one, which holds none of them.  No entries, no row."""
+
+    def work(batches):
+        import hashlib
+
+        h, n = hashlib.sha256(), 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(columns)))):
+                h.update(b"\0".join(str(v).encode("utf-8") for v in row) + b"\n")
+            n += len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([n], pa.int64())], ["sha256", "n"])
+
+    return entries.orderBy(*order).select(*columns).coalesce(1).mapInArrow(work, "sha256 string, n long")
+
+
 def fingerprint(entries: DataFrame, position: str, *columns: str) -> DataFrame:
     """One row with the SHA-256 of the entries in order, the fields of each ended by a zero
     byte and a newline.  Entries of one range are hashed together, then the ranges' hashes,

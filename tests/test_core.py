@@ -297,9 +297,24 @@ def test_codebook_stream(spark, tmp_path):
     start = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "code long, vec array<double>")
     q = I.update_codebook(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "id", "v", start, str(tmp_path / "book"), 0.5).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     q.awaitTermination()
-    got = {r.code: r for r in spark.read.parquet(str(tmp_path / "book" / "v=0")).collect()}
-    assert got[0].vec == pytest.approx([0.0, 10 * 0.5 / 5.5]) and not got[0].dead and got[0].size == 5.5
-    assert got[1].vec == [9.0, 9.0] and got[1].dead
+    got = {(r.code, r.dim): (r.size, r.total, r.c) for r in spark.read.parquet(str(tmp_path / "book" / "v=0")).collect()}
+    assert got[0, 0] == (5.5, 0.0, 0.0) and got[0, 1] == (5.5, 5.0, pytest.approx(5.0 / 5.5))
+    assert got[1, 0] == (0.5, 4.5, 0.0) and got[1, 1] == (0.5, 4.5, 1.0)  # dead: the batch's second vector
+
+
+def test_codebook_over_batches(spark):
+    """The mean of many equal batches is where the codebook goes, and counts are carried on."""
+    state = codes.fresh(spark.createDataFrame([(0, 0, 9.0)], "code long, dim int, c double"))
+    batch = spark.createDataFrame([(k, [float(v)]) for k, v in enumerate([1.0, 3.0, 5.0] * 33)], "id long, v array<double>")
+    size, total = 1.0, 9.0
+    for _ in range(3):
+        assigned = matching.quantized(batch, "id", "v", [matching.codebook(*codes.as_book(state))])
+        state = codes.updated(state, assigned, stats.exploded(batch, ["id"], "v"), "id", 0.99)
+        size, total = 0.99 * size + 0.01 * 99, 0.99 * total + 0.01 * 297
+        r = state.collect()[0]
+        assert (r["size"], r.total, r.c) == pytest.approx((size, total, total / size))
+    empty = codes.updated(state, assigned.limit(0), stats.exploded(batch, ["id"], "v"), "id", 0.5).collect()[0]
+    assert empty.c == pytest.approx(total / size if size * 0.5 < 1 else total / size)
 
 
 def test_running_moments_stream(spark, tmp_path):
