@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 STRETCH = 8192
 
 
@@ -56,7 +58,7 @@ def rates(df: DataFrame, entity: str, position: str, values: list[str], horizon:
 
 def running_sums(df: DataFrame, entity: str, position: str, values: list[str], stretch: int = STRETCH) -> DataFrame:
     """``s_<value>``: sums up to and with each reading."""
-    parts = df.where(F.col(entity).isNotNull() & F.col(position).isNotNull()).withColumn("_stretch", F.floor(F.col(position) / stretch).cast("long"))
+    parts = materialize(df.where(F.col(entity).isNotNull() & F.col(position).isNotNull()).withColumn("_stretch", F.floor(F.col(position) / stretch).cast("long")))  # read twice below
     bases = parts.groupBy(entity, "_stretch").agg(*(F.sum(v).alias(f"_b_{v}") for v in values))
     before = Window.partitionBy(entity).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
     bases = bases.select(entity, "_stretch", *(F.coalesce(F.sum(f"_b_{v}").over(before), F.lit(0.0)).alias(f"_b_{v}") for v in values))
