@@ -14,11 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PATTERN, VOCABULARY, encoder, portions
+from .tokens import PATTERN, VOCABULARY, encoder_of, portions, shipped
 
 CAPACITY, GROUP, SEED = 2048, 8192, 20_011
 
@@ -58,24 +57,28 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 def sized_texts(docs: DataFrame, groups: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(key, n_tokens, grp): token count of every row and its random group.
 
-    The group follows from the key alone; further rows of one key also take the partition
-    and their number in it, so that no key makes a large group.
+    The group follows from the partition and the row's number in it, so that no key makes a
+    large group, and a task that runs again gives the same.
     """
     kind = docs.schema[key].dataType.simpleString()
+    words = shipped(docs, vocabulary)
 
     def work(batches):
         from pyspark import TaskContext
 
-        coder, part, seen = encoder(vocabulary, pattern), TaskContext.get().partitionId(), {}
+        coder, at = encoder_of(words.value, pattern), 0
+        part = np.uint64(TaskContext.get().partitionId() + 1) * np.uint64(0x9E3779B97F4A7C15 & (1 << 63) - 1)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in portions(texts):
                 _, offsets = coder.encode(texts[a:b])
-                group = []
-                for k in keys[a:b]:
-                    again = seen[k] = seen.get(k, -1) + 1
-                    group.append(xxhash.xxh3_64_intdigest(repr(k if not again else (k, part, again)), SEED) % groups)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(group, pa.int64())], [key, "n_tokens", "grp"])
+                with np.errstate(over="ignore"):
+                    x = np.arange(at, at + b - a, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + part + np.uint64(SEED)
+                    for _ in range(2):
+                        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    x ^= x >> np.uint64(32)
+                at += b - a
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array((x % np.uint64(groups)).astype(np.int64))], [key, "n_tokens", "grp"])
 
     return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_tokens long, grp long")
 

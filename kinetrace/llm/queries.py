@@ -102,6 +102,27 @@ def p5_ids(spark, sf_dir):
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p5_round_trip(spark, sf_dir):
+    """Bytes of every document, and whether its ids decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokens.decode_ids(tokens.encode_texts(docs)).withColumnRenamed("text", "back")
+    same = F.coalesce("text", F.lit("")) == F.col("back")
+    return docs.join(back, "doc_id").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), same.alias("same"))
+
+
+def p6_sound(spark, sf_dir):
+    """Texts in containers, whether no container is over-full and no text without need split, and whether 99 % of the space is used
+    (but for one container of each group)."""
+    packed = materialize(packing.pack_texts(table(spark, sf_dir, "documents")))
+    fill = packing.fill(packed).agg(F.min("unused").alias("least"), F.sum("n_tokens").alias("used"), F.count("*").alias("n"))
+    split = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("size"))
+    # a piece is a full container but for a text's last one
+    whole = split.agg(F.bool_and(F.col("pieces") == F.greatest(F.ceil(F.col("size") / packing.CAPACITY), F.lit(1))).alias("whole"), F.count("*").alias("n_docs"))
+    groups = packed.agg(F.count_distinct(F.shiftright("container", 32)).alias("groups"))
+    full = F.col("used") >= 0.99 * packing.CAPACITY * (F.col("n") - F.col("groups"))
+    return whole.crossJoin(fill).crossJoin(groups).select("n_docs", (F.col("least") >= 0).alias("fits"), "whole", full.alias("full"))  # one row each
+
+
 def p6_pack(spark, sf_dir):
     """Container of every text, 2,048 tokens each."""
     return packing.pack_texts(table(spark, sf_dir, "documents"))
@@ -122,7 +143,7 @@ def p7_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p3_sound, p4_found, p4_links, p4_ids, p4_report, p5_ids, p6_pack, p6_fill, p7_found, p7_restored)}
+QUERIES = {q.__name__: q for q in (p2_percentiles, p2_days, p2_from_days, p2_rank_error, p3_found, p3_pieces, p3_sound, p4_found, p4_links, p4_ids, p4_report, p5_ids, p5_round_trip, p6_pack, p6_fill, p6_sound, p7_found, p7_restored)}
 _VALUES = " union all ".join(f"select '{column}' as field, source, cast((i - 1) % {width} as int) as dim, x::double as x from (select source, unnest({column}) as x, generate_subscripts({column}, 1) as i from {name} where len({column}) % {width} = 0)" for name, column, width, _ in WIDE)
 _PLANS = """plans as (select clip_id, num_frames, row_number() over (partition by clip_id order by planned_at desc, num_frames desc) as k
                from clip_plans where error is null and clip_id is not null)"""
@@ -130,6 +151,8 @@ _LONG = "case when features is not null then len(features) // 499 else num_recor
 SQL = {
     "p3_sound": f"""with {_PLANS} select 'umr_release' as table_name, rec_id as item_id, row_id as row_key, cast({_LONG} as int) as length, true as sound from umr_release where rec_id is not null and {_LONG} > 300
 union all select 'clip_plans', clip_id, null, num_frames, true from plans where k = 1 and num_frames > 300""",
+    "p5_round_trip": "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n_bytes, true as same from documents",
+    "p6_sound": "select count(distinct doc_id) as n_docs, true as fits, true as whole, true as full from documents",
     "p4_ids": """
 with k as (select row_id, lower(trim(split)) = 'train' as train, regexp_replace(regexp_replace(lower(trim(rec_id)), '[^a-z0-9]+(?:r|rev|revision|v|ver|version)[^a-z0-9]*[0-9]+[^a-z0-9]*$', ''), '[^a-z0-9]', '', 'g') as key
            from umr_release where lower(trim(split)) in ('train', 'val', 'test') and row_id is not null and rec_id is not null)

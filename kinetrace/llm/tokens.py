@@ -26,6 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BUCKET = 4  #: keys per bucket of the hash, on average
 LOAD, TRIES = 0.92, 16  #: share of slots taken before the holes are closed, displacements tried at a time
 STEP = 1 << 22  #: characters encoded at a time
+MOST = 1 << 26  #: bytes a vocabulary file may have
 
 
 class PerfectHash:
@@ -91,9 +92,8 @@ class PerfectHash:
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, vocabulary: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.words = regex.compile(pattern)
         self.hash = PerfectHash(self.ranks)
         self.merged = lru_cache(1 << 16)(self._merge)
@@ -149,9 +149,24 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder_of(vocabulary: bytes, pattern: str) -> Encoder:
     """One per worker process."""
-    return Encoder(path, pattern)
+    return Encoder(vocabulary, pattern)
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    with open(path, "rb") as f:
+        return encoder_of(f.read(), pattern)
+
+
+def shipped(df: DataFrame, path: str):
+    """The vocabulary file, read on the driver and sent to every executor: a megabyte or two,
+    whatever the corpus."""
+    with open(path, "rb") as f:
+        content = f.read()
+    if len(content) > MOST:
+        raise ValueError(f"a vocabulary of more than {MOST} bytes is not sent to every executor")
+    return df.sparkSession.sparkContext.broadcast(content)
 
 
 def portions(texts: list[str | None]):
@@ -169,8 +184,10 @@ def portions(texts: list[str | None]):
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(key, ids): token ids of every text, one row per row of ``docs``; no shuffle."""
 
+    words = shipped(docs, vocabulary)
+
     def work(batches):
-        coder = encoder(vocabulary, pattern)
+        coder = encoder_of(words.value, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in portions(texts):
@@ -182,6 +199,20 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_ids(ids: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text): the text of each list of ids; empty for an empty one, null for a null one."""
+    words = shipped(ids, vocabulary)
+
+    def work(batches):
+        by_id = {v: k for k, v in encoder_of(words.value, PATTERN).ranks.items()}
+        for batch in batches:
+            out = [None if x is None else b"".join(map(by_id.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "text"])
+
+    kind = ids.schema[key].dataType.simpleString()
+    return ids.select(key, "ids").mapInArrow(work, f"`{key}` {kind}, text string")
+
+
 def token_counts(ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens) of encoded texts."""
     return ids.select(key, F.size("ids").alias("n_tokens"))

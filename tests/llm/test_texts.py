@@ -54,6 +54,8 @@ def test_encoding_of_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = tokens.encode_texts(df).collect()
     assert len(got) == len(rows) and sorted(len(r.ids) for r in got)[:2] == [0, 0]
+    back = tokens.decode_ids(tokens.encode_texts(df)).collect()
+    assert [r.text for r in back] == [r[1] or "" for r in rows]
     assert tokens.encode_texts(df.limit(0)).count() == 0
 
 
