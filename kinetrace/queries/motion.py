@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import caches, pipelines
+from .. import caches, codec, pipelines
 from ..catalog import BODY22, RECORD_WIDTH, slices, table
 from ..functions import rotation as R
 from ..functions import vectors as V
@@ -409,6 +409,55 @@ def fk_geometry(spark, sf_dir):
     return rows.mapInArrow(work, "row_id long, " + ", ".join(f"{n} double" for n in names)).select("row_id", *(rounded(F.col(n)).alias(n) for n in names))
 
 
+# codecs
+
+
+@query("""select row_id, cast(len(features) // 499 // 4 * 4 as int) as n, true as same from umr_release where len(features) % 499 = 0 and len(features) // 499 >= 4""")
+def codec_identity(spark, sf_dir):
+    """Clips cut to whole tokens and given back as they are."""
+    rows = umr(spark, sf_dir)
+    out = codec.build(codec.Config.of(name="identity", unknown=1)).reconstruct(rows).withColumnRenamed("features", "back")
+    j = rows.select("row_id", "features").join(out, "row_id")
+    return j.select("row_id", F.floor(F.size("back") / RECORD_WIDTH).cast("int").alias("n"), (F.slice("features", F.lit(1), F.size("back")) == F.col("back")).alias("same"))
+
+
+_GROUPS = {"root": (0, 9, 4), "contact": (495, 499, 2)}
+_POOLED = f"""u as (select row_id, features, len(features) // 499 // 4 * 4 as n from umr_release where len(features) % 499 = 0 and len(features) // 499 >= 4),
+x as (select row_id, n, unnest(features)::double as v, generate_subscripts(features, 1) - 1 as i from u), y as (select row_id, i // 499 as r, i % 499 as d, case when isfinite(v) then v else 0 end as v from x where i // 499 < n),
+p as ({" union all ".join(f"select row_id, '{g}' as grp, r // {s} as token, d - {a} as d, avg(v) as v from y where d >= {a} and d < {b} group by row_id, r // {s}, d" for g, (a, b, s) in _GROUPS.items())}),
+f as (select row_id, row_number() over (order by row_id) - 1 as code from (select distinct row_id from u order by row_id limit 8))"""
+
+
+@query(f"""with {_POOLED}, bk as (select grp, code, d, v from p join f using (row_id) where token = 0), q as (select p.row_id, p.grp, p.token, bk.code, round(sum((p.v - bk.v) * (p.v - bk.v)), 9) as dist from p join bk on p.grp = bk.grp and p.d = bk.d group by all),
+k as (select *, row_number() over (partition by row_id, grp, token order by dist, code) as k from q) select row_id, grp, cast(token as int) as token, cast(code as bigint) as code from k where k = 1""")
+def codec_tokens(spark, sf_dir):
+    """Codes of two groups of fields, each at its own rate; the codes are the first tokens of eight clips."""
+    return _group_codec(spark, sf_dir).tokens(umr(spark, sf_dir)).select("row_id", "grp", "token", "code")
+
+
+def _group_codec(spark, sf_dir):
+    import numpy as np
+
+    rows = umr(spark, sf_dir).where(WHOLE).where(f"size(features) >= {4 * RECORD_WIDTH}")
+    first = rows.orderBy("row_id").limit(8).select("row_id", F.slice("features", 1, 4 * RECORD_WIDTH).alias("x")).collect()
+    x = [np.array(r.x, np.float64).reshape(4, RECORD_WIDTH) for r in first]
+    books = {f"{g}.book.0": np.stack([codec.pooled(v[:s, a:b], s)[0] for v in x]) for g, (a, b, s) in _GROUPS.items()}
+    config = codec.Config.of(name="vector", dims={g: (a, b) for g, (a, b, _) in _GROUPS.items()}, strides={g: s for g, (_, _, s) in _GROUPS.items()})
+    return codec.build(config, books)
+
+
+@query(f"""with {_POOLED}, bk as (select grp, code, d, v from p join f using (row_id) where token = 0), q as (select p.row_id, p.grp, p.token, bk.code, round(sum((p.v - bk.v) * (p.v - bk.v)), 9) as dist from p join bk on p.grp = bk.grp and p.d = bk.d group by all),
+k as (select *, row_number() over (partition by row_id, grp, token order by dist, code) as k from q) select row_id, k.grp, cast(count(*) as bigint) as n, {r6("sum(v::float)")} as total from k join bk on k.grp = bk.grp and k.code = bk.code where k.k = 1 group by row_id, k.grp""")
+def codec_decode(spark, sf_dir):
+    """Clips decoded from their codes: numbers of each group and their sum, once a token."""
+    out = _group_codec(spark, sf_dir).reconstruct(umr(spark, sf_dir))
+    rows = out.select("row_id", F.posexplode("features").alias("i", "v")).select("row_id", F.floor(F.col("i") / RECORD_WIDTH).alias("r"), (F.col("i") % RECORD_WIDTH).alias("d"), "v")
+    grp = F.lit(None).cast("string")
+    for g, (a, b, s) in _GROUPS.items():
+        grp = F.when((F.col("d") >= a) & (F.col("d") < b) & (F.col("r") % s == 0), g).otherwise(grp)
+    return rows.select("row_id", grp.alias("grp"), F.col("v").cast("double").alias("v")).where("grp is not null").groupBy("row_id", "grp").agg(F.count("*").alias("n"), rounded(F.sum("v")).alias("total"))
+
+
 # validators and jobs
 
 

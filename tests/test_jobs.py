@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace import caches, pipelines
+from kinetrace import caches, codec, pipelines
 from kinetrace.functions import vectors as V
 from kinetrace.operators import losses, matching, stats
 from kinetrace.sources import files
@@ -167,6 +167,36 @@ def test_streams_of_a_record(spark):
     assert len(r.a) == 43 and len(r.b) == 456 and r.c == record[:495] and r.d == record
 
 
+def test_codec_in_groups(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    c = clips(spark, (9, 3)).drop("error")
+    config = codec.Config.of(name="vector", strides={"a": 4, "b": 2}, dims={"a": (0, 9), "b": (495, 499)}, what="else")
+    p = {"a.book.0": rng.normal(size=(6, 5)), "a.book.1": rng.normal(size=(6, 5)) / 4, "a.down": rng.normal(size=(9, 5)), "a.up": rng.normal(size=(5, 9)), "b.book.0": rng.normal(size=(3, 4)), "b.mean": rng.normal(size=4), "b.std": rng.random(4) + 0.5}
+    codec.save_parameters(spark, p, f"file://{tmp_path}/p")
+    p = codec.load_parameters(spark, f"file://{tmp_path}/p")
+    k = codec.build(config, p)
+    got = {(r.row_id, r.grp, r.token, r.layer): r.code for r in k.tokens(c).collect()}
+    x = np.array(c.where("row_id = 0").collect()[0].features).reshape(-1, W)
+    z = x[:8, :9].reshape(2, 4, 9).mean(axis=1) @ p["a.down"]
+    one = ((z[:, None] - p["a.book.0"]) ** 2).sum(axis=2).argmin(axis=1)
+    two = (((z - p["a.book.0"][one])[:, None] - p["a.book.1"]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [got[0, "a", t, 0] for t in (0, 1)] == one.tolist() and [got[0, "a", t, 1] for t in (0, 1)] == two.tolist()
+    assert {k for k, *_ in got} == {0, 91, 93} and sum(k == 0 for k, *_ in got) == 2 * 2 + 4
+    back = {r.row_id: np.array(r.features).reshape(-1, W) for r in k.reconstruct(c).collect()}
+    want = np.repeat((p["a.book.0"][one] + p["a.book.1"][two]) @ p["a.up"], 4, axis=0)
+    assert back[0].shape == (8, W) and np.allclose(back[0][:, :9], want, atol=1e-5) and not back[0][:, 9:495].any()
+    b = [got[0, "b", t, 0] for t in range(4)]
+    assert np.allclose(back[0][:, 495:], np.repeat(p["b.book.0"][b], 2, axis=0) * p["b.std"] + p["b.mean"], atol=1e-5)
+    first = {r.row_id: np.array(r.features).reshape(-1, W) for r in k.reconstruct(c, prefix=1).collect()}
+    assert np.allclose(first[0][:, :9], np.repeat(p["a.book.0"][one] @ p["a.up"], 4, axis=0), atol=1e-5)
+    same = codec.build(codec.Config.of()).reconstruct(c).collect()
+    assert {r.row_id: len(r.features) // W for r in same} == {0: 8, 91: 8, 93: 8} and codec.build(codec.Config()).tokens(c).count() == 0
+    with pytest.raises(ValueError):
+        codec.build(codec.Config.of(name="other"))
+    h = codec.semantic(z, [(rng.normal(size=(5, 7)), np.zeros(7)), (rng.normal(size=(7, 3)), np.ones(3))])
+    assert h.shape == (1, 3) and np.linalg.norm(h) == pytest.approx(1)
+
+
 def test_small_losses(spark):
     r = spark.range(1).select(losses.orthogonality([F.lit(1.0), F.lit(2.0), F.lit(0.0)], [F.lit(1.0), F.lit(1.0), F.lit(5.0)]), losses.root_header(F.lit(1.0), F.lit(2.0), 1.0, 0.5), losses.weighted({"a": F.lit(2.0), "b": F.lit(3.0)}, {"a": 0.5, "b": 0.0})).collect()[0]
     assert list(r) == [9.0, 1.0, 1.0]
