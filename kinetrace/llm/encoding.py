@@ -47,8 +47,9 @@ LEAST_KANA = 4  #: characters a word of garbled kana has at least
 LOST = "�"
 NEAR = 80  #: characters within which a quotation and its restored form stand
 
-WORD = re.compile(r"[^\s\x00-\x20]*[^\x00-\x7f](?:[^\x00-\x20])*")
+TAIL = re.compile(r"[^\x00-\x7f][^\x00-\x20]*")  #: of a word, from its first character that is not ASCII
 EAST = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]+|[^\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]+")
+EASTERLY = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]")
 REFERENCE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -107,7 +108,6 @@ def cls(c: str) -> str:
 SHARE = {"あ": math.log(80), "ア": math.log(80), "一": math.log(2500), "\u0301": math.log(20), "\U0001f642": math.log(500), "Ā": math.log(500), "က": math.log(500)}
 
 
-PART = re.compile(r"[^\x00-\x20]+")
 KANA = re.compile("[\u3000-\u30ff]")
 
 
@@ -130,6 +130,17 @@ def kana_bytes(word: str) -> bool:
     return False
 
 
+def words_of(text: str) -> list[tuple[int, str]]:
+    """(position, word) of the words that hold more than ASCII."""
+    out = []
+    for m in TAIL.finditer(text):
+        at = m.start()
+        while at and text[at - 1] > " ":
+            at -= 1
+        out.append((at, text[at : m.end()]))
+    return out
+
+
 def remains(word: str) -> bool:
     """Does the word consist of what is left of East Asian UTF-8 bytes?"""
     pieces = EASTERN.findall(word)
@@ -138,7 +149,7 @@ def remains(word: str) -> bool:
 
 def without_bytes(text: str) -> str:
     """The text without words the clean state must not learn."""
-    for word in {w for w in PART.findall(text) if len(w) >= 6 and not w.isascii()}:
+    for word in {w for _, w in words_of(text) if len(w) >= 6}:
         if remains(word) or len(word) >= 2 * LEAST_KANA and kana_bytes(word):
             text = text.replace(word, " ")
     return text
@@ -484,8 +495,9 @@ def read_references(text: str) -> tuple[str, list[tuple[int, int]]]:
 def pieces(text: str) -> list[tuple[int, str]]:
     """(position, piece): what is labelled at once."""
     out = []
-    for m in WORD.finditer(text):
-        out += [(m.start() + k.start(), k.group()) for k in EAST.finditer(m.group()) if not k.group().isascii()]
+    for at, word in words_of(text):
+        parts = [(at, word)] if EASTERLY.search(word) is None else [(at + k.start(), k.group()) for k in EAST.finditer(word)]
+        out += [p for p in parts if not p[1].isascii()]
     return out
 
 
