@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,11 @@ def matches(spark: SparkSession, folder: str, **parameters) -> bool:
     return bool(meta) and all(meta.get(k) == v for k, v in parameters.items()) and is_ready(spark, folder)
 
 
+def held(df: DataFrame, in_memory: bool = True) -> DataFrame:
+    """A table kept by the executors once it is read: in memory as far as there is room, or on their disks."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK if in_memory else StorageLevel.DISK_ONLY)
+
+
 def open_ragged(spark: SparkSession, folder: str, teacher: DataFrame | None = None, per_token: bool = False) -> tuple[DataFrame, DataFrame]:
     """Index and data of a ragged cache.  A ``teacher`` table (row_id, and one row per token
     with ``per_token``) must have as many rows as the clips, or tokens, of each ask for."""

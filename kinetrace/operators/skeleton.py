@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,21 @@ def offsets(rest: DataFrame) -> DataFrame:
     return rest.join(up, "parent", "left").select("joint", "parent", *((F.col(c) - F.coalesce(f"p_{c}", F.lit(0.0))).alias(f"d{c}") for c in "xyz"))
 
 
+def write_template(rest: DataFrame, path: str) -> None:
+    """Keep a skeleton, rest positions (joint, parent, x, y, z), as (joint, parent, dx, dy, dz)."""
+    offsets(rest).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_template(spark: SparkSession, path: str) -> tuple[list[int], np.ndarray]:
+    """Parents and offsets [J, 3] of a kept skeleton; an error if its parents form no tree."""
+    rows = spark.read.parquet(path).orderBy("joint").limit(1 << 12).collect()
+    if [r.joint for r in rows] != list(range(len(rows))):
+        raise ValueError("the joints are not numbered from 0")
+    parents = [r.parent for r in rows]
+    order_of(parents)
+    return parents, np.array([[r.dx, r.dy, r.dz] for r in rows], np.float64).reshape(-1, 3)
+
+
 def forward(parents: list[int], offset: np.ndarray, turns: np.ndarray, root: np.ndarray) -> np.ndarray:
     """World positions [T, J, 3] of local rotations [T, J, 3, 3] and root positions [T, 3]."""
     t, j = turns.shape[:2]

@@ -18,6 +18,8 @@ from .kernels import motion
 from .operators import metrics, stats
 from .operators.matching import first_event
 from .plans import windows
+from .shared import materialize as keep
+from .sources import files
 
 CLIP = "rec_id string, num_records int, fps double, features array<float>, init_root_pos array<float>, init_root_rot6d array<float>, init_joints76_rot6d array<float>, joints77_pos array<float>, error string"
 
@@ -88,6 +90,55 @@ def materialize(release: DataFrame, datasets: list[str] | None = None, ids: Data
     return rows.where(F.col("features").isNotNull() & (n == F.floor(n)) & (n >= least))
 
 
+def export(release: DataFrame, folder: str, least: int = 2) -> DataFrame:
+    """Write the clips of a release as files, with their captions and a manifest beside them.
+
+    Clips go to ``<folder>/<rec_id>/clip.npz`` on a path all executors see, captions as JSON
+    lines to ``<folder>/captions``, the ids of all written clips in order to
+    ``<folder>/manifest``.  Returns (rec_id, path, error); of rows with one id the first counts.
+    """
+    rows = materialize(release, least=least).where("rec_id is not null")
+    first = rows.groupBy("rec_id").agg(F.min("row_id").alias("row_id"))
+    rows = rows.join(first, ["rec_id", "row_id"], "left_semi")
+    spark = release.sparkSession
+    done = keep(files.write_npz(rows, "rec_id", folder))
+    written = done.where("error is null").select("rec_id")
+    texts = rows.select("rec_id", F.coalesce("text", F.lit("")).alias("text")).join(written, "rec_id", "left_semi")
+    texts.select(F.to_json(F.struct("rec_id", "text")).alias("value")).write.mode("overwrite").text(f"file://{folder}/captions")
+    written.orderBy("rec_id").select(F.col("rec_id").alias("value")).coalesce(1).write.mode("overwrite").text(f"file://{folder}/manifest")
+    return spark.read.schema(done.schema).parquet(done.inputFiles()[0].rsplit("/", 1)[0]) if done.inputFiles() else done
+
+
+def write_metrics(per_clip: DataFrame, histograms: DataFrame, folder: str) -> None:
+    """Raw metrics of an evaluation: a row per clip, and the code histograms they are rolled up from."""
+    per_clip.write.mode("overwrite").parquet(f"{folder}/clips")
+    histograms.write.mode("overwrite").parquet(f"{folder}/histograms")
+
+
+def teacher_check(clips: DataFrame, teacher: Callable[[np.ndarray], np.ndarray], fps: float = 30.0, most: int = 300) -> DataFrame:
+    """(row_id, frames, width, finite, norm) of what a teacher makes of every clip, brought to its
+    rate along straight lines and cut to ``most`` frames."""
+    schema = "row_id long, frames int, width int, finite boolean, norm double"
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for k, rate, x in zip(batch.column("row_id").to_pylist(), batch.column("fps").to_pylist(), batch.column("features")):
+                v = x.values.to_numpy(zero_copy_only=False).reshape(-1, RECORD_WIDTH)
+                m = max(1, int(round(len(v) * fps / (rate if rate and rate > 0 else 50.0))))
+                at = np.linspace(0, len(v) - 1, m)
+                low = np.floor(at).astype(int)
+                w = (at - low)[:, None]
+                v = (v[low] * (1 - w) + v[np.minimum(low + 1, len(v) - 1)] * w)[:most]
+                e = np.asarray(teacher(v), np.float64)
+                rows.append({"row_id": k, "frames": len(v), "width": e.size, "finite": bool(np.isfinite(e).all()), "norm": float(np.linalg.norm(e))})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row_id", pa.int64()), ("frames", pa.int32()), ("width", pa.int32()), ("finite", pa.bool_()), ("norm", pa.float64())]))
+
+    fit = clips.where(F.col("features").isNotNull() & (F.size("features") > 0) & (F.size("features") % RECORD_WIDTH == 0))
+    return fit.select("row_id", "fps", "features").mapInArrow(work, schema)
+
+
 def fixed_windows(clips: DataFrame, width: int = 64, step: int = 32, cap: int = 64) -> DataFrame:
     """(row_id, rec_id, start, features): every window of every clip, cut from the clip's own row."""
     n = F.floor(F.size("features") / RECORD_WIDTH).cast("int")

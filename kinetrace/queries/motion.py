@@ -461,6 +461,12 @@ def codec_decode(spark, sf_dir):
 # validators and jobs
 
 
+@query("""select row_id, cast(least(300, greatest(1, round_even((len(features) // 499) * 30.0::double / case when fps > 0 then fps else 50.0 end, 0))) as int) as frames, 499 as width from umr_release where len(features) > 0 and len(features) % 499 = 0""")
+def teacher_smoke(spark, sf_dir):
+    """Frames a teacher is given of every clip, and the width of what it makes of them."""
+    return pipelines.teacher_check(umr(spark, sf_dir), pipelines.mean_pool).select("row_id", "frames", "width")
+
+
 @query(f"""with {READINGS}, v as (select rec_id, t, {", ".join(f"case when isfinite(root_traj[{i}]) then root_traj[{i}]::double end as {n}" for i, n in ((3, "wx"), (4, "wz"), (5, "y")))}, {", ".join(f"case when isfinite(foot_contact[{i}]) then foot_contact[{i}]::double end as c{i}" for i in range(1, 5))},
   (root_traj is null or len(root_traj) <> 9 or len(list_filter(root_traj, lambda a: a is null or not isfinite(a))) > 0) as bad from readings), f as (select rec_id, max(fps) as fps from recordings where fps > 0 group by rec_id),
 s as (select v.rec_id, count(*) as n, count(*) filter (bad) as n_bad, avg(y) as y_mean, min(y) as y_min, max(y) as y_max, quantile_cont(sqrt(wx * wx + wz * wz), 0.99) as step_p99, {", ".join(f"avg(c{i}) as rate{i}" for i in range(1, 5))} from v group by v.rec_id)

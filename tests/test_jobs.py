@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinetrace import caches, codec, pipelines
 from kinetrace.functions import vectors as V
-from kinetrace.operators import losses, matching, stats
+from kinetrace.operators import losses, matching, skeleton, stats
 from kinetrace.sources import files
 from kinetrace.streaming import integrate as I
 
@@ -197,6 +197,40 @@ def test_codec_in_groups(spark, tmp_path):
     assert h.shape == (1, 3) and np.linalg.norm(h) == pytest.approx(1)
 
 
+def test_files_of_a_release(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, n in enumerate((4, 1, 3)):
+        arrays = [rng.normal(size=m) for m in (n * W, 3, 6, 456, 10, 702, (n + 1) * 231)]
+        rows.append((k, f"r{k}", 50.0, *([float(v) for v in a] for a in arrays), "{}", f"text {k}" if k else None))
+    rows.append((9, "r0", *rows[0][2:]))
+    df = spark.createDataFrame(rows, "row_id long, rec_id string, fps double, features array<float>, init_root_pos array<float>, init_root_rot6d array<float>, init_joints76_rot6d array<float>, identity_coeffs array<float>, joint_orient array<float>, joints77_pos array<float>, provenance_json string, text string")
+    got = {r.rec_id: r.error for r in pipelines.export(df, str(tmp_path / "x")).collect()}
+    assert got == {"r0": None, "r2": None}
+    back = {r.path.split("/")[-2]: r for r in files.read_npz(spark, str(tmp_path / "x")).collect()}
+    assert set(back) == {"r0", "r2"} and np.allclose(back["r2"].features, rows[2][3], atol=1e-6) and back["r0"].error is None
+    assert [r.value for r in spark.read.text(str(tmp_path / "x" / "manifest")).collect()] == ["r0", "r2"]
+    assert {r.rec_id: r.text for r in files.read_report(spark, str(tmp_path / "x" / "captions"), "rec_id string, text string").collect()} == {"r0": "", "r2": "text 2"}
+
+
+def test_teacher_template_and_raw_metrics(spark, tmp_path):
+    got = {r.row_id: r for r in pipelines.teacher_check(clips(spark), pipelines.mean_pool, most=10).collect()}
+    assert {k: r.frames for k, r in got.items()} == {0: 10, 1: 7, 2: 2, 3: 1, 91: 10, 93: 10} and all(r.finite and r.width == W for r in got.values())
+    assert got[0].norm == pytest.approx(1) and got[3].norm == 0
+    rest = spark.createDataFrame([(1, 0, 1.0, 2.0, 0.0), (0, -1, 1.0, 0.0, 0.0)], "joint int, parent int, x double, y double, z double")
+    skeleton.write_template(rest, f"file://{tmp_path}/t")
+    parents, offset = skeleton.read_template(spark, f"file://{tmp_path}/t")
+    assert parents == [-1, 0] and offset.tolist() == [[1.0, 0.0, 0.0], [0.0, 2.0, 0.0]]
+    skeleton.write_template(rest.where("joint = 1"), f"file://{tmp_path}/u")
+    with pytest.raises(ValueError):
+        skeleton.read_template(spark, f"file://{tmp_path}/u")
+    pipelines.write_metrics(spark.range(3), spark.range(2), f"file://{tmp_path}/m")
+    assert spark.read.parquet(f"file://{tmp_path}/m/clips").count() == 3
+    df = caches.held(spark.range(3), in_memory=False)
+    assert df.count() == 3 and df.is_cached
+    df.unpersist()
+
+
 def test_small_losses(spark):
     r = spark.range(1).select(losses.orthogonality([F.lit(1.0), F.lit(2.0), F.lit(0.0)], [F.lit(1.0), F.lit(1.0), F.lit(5.0)]), losses.root_header(F.lit(1.0), F.lit(2.0), 1.0, 0.5), losses.weighted({"a": F.lit(2.0), "b": F.lit(3.0)}, {"a": 0.5, "b": 0.0})).collect()[0]
     assert list(r) == [9.0, 1.0, 1.0]
