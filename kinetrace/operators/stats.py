@@ -31,9 +31,23 @@ def moments(values: DataFrame, by: list[str], x: str = "x") -> DataFrame:
     return values.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), deviation(F.var_pop(x)).alias("std"))
 
 
-def mean_of_quantiles(values: DataFrame, clip: list[str], by: list[str], shares: dict[str, float], x: str = "x") -> DataFrame:
-    """Quantiles per clip, linearly interpolated, then averaged over clips of any length alike."""
-    per = values.groupBy(*clip, *by).agg(*(F.percentile(x, F.lit(q)).alias(name) for name, q in shares.items()))
+LONG = 1 << 22  #: values of a clip that one task may sort
+
+
+def mean_of_quantiles(values: DataFrame, clip: list[str], by: list[str], shares: dict[str, float], x: str = "x", most: int = LONG) -> DataFrame:
+    """Quantiles per clip, linearly interpolated, then averaged over clips of any length alike.
+
+    Clips of up to ``most`` values are settled by the aggregate, longer ones by ranges: the
+    same numbers, and no task grows with a clip.
+    """
+    size = values.groupBy(*clip).agg(F.count("*").alias("_n"))
+    long = materialize(size.where(F.col("_n") > most).select(*(F.col(c).alias(f"_{c}") for c in clip)))
+    plain = lambda rows: rows.groupBy(*clip, *by).agg(*(F.percentile(x, F.lit(q)).alias(name) for name, q in shares.items()))
+    if long.isEmpty():
+        per = plain(values)
+    else:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in clip]
+        per = plain(values.join(long, same, "left_anti")).unionByName(quantiles(values.join(long, same, "left_semi"), [*clip, *by], x, shares))
     return per.groupBy(*by).agg(*(F.avg(name).alias(name) for name in shares))
 
 

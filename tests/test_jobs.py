@@ -95,6 +95,16 @@ def test_exact_quantiles(spark):
     assert lower["b"] == np.sort(x["b"])[99] and stats.quantiles(df.limit(0), ["k"], "x", {"mid": 0.5}).count() == 0
 
 
+def test_long_clips_give_the_same_quantiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, d, float(v)) for c, n in (("a", 400), ("b", 30), (None, 50)) for d in (0, 1) for v in rng.normal(size=n)]
+    df = spark.createDataFrame(rows, "c string, d int, x double").repartition(4)
+    want = {d: np.mean([np.quantile([v for c, e, v in rows if c == k and e == d], 0.9) for k in ("a", "b", None)]) for d in (0, 1)}
+    for most in (1 << 22, 500, 0):
+        got = {r.d: r.q for r in stats.mean_of_quantiles(df, ["c"], ["d"], {"q": 0.9}, most=most).collect()}
+        assert got == {d: pytest.approx(v) for d, v in want.items()}
+
+
 def test_nearest_code_equals_plain_search():
     rng = np.random.default_rng(2)
     book = rng.normal(size=(40, 8)).round(1)
