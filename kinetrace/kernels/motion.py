@@ -21,8 +21,11 @@ FACING = (72, 67, 40, 12)
 FEET = (69, 70, 74, 75)
 # Joints whose velocity is kept.
 KEYS = (3, 6, 14, 42, 69, 70, 74, 75)
+# Fixed values of the format: the bound below which a foot is down, the horizons of the rates, and
+# the share the decoder takes of local and of world steps.
 CONTACT = 0.002  #: squared displacement, in square metres a frame, below which a foot is down
 HORIZONS = (0.2, 0.4)  #: seconds
+SHARE = 0.5
 
 
 @dataclass
@@ -147,7 +150,7 @@ def decode(features: np.ndarray, root_pos: np.ndarray, root_rot6d: np.ndarray, j
     local = turned(flat, -headings(m[1:, 0]))[:, [0, 2]]
     place = np.empty((n + 1, 3))
     place[0] = root_pos
-    place[1:, [0, 2]] = place[0, [0, 2]] + np.cumsum(0.5 * local + 0.5 * traj[:, 2:4], axis=0)
+    place[1:, [0, 2]] = place[0, [0, 2]] + np.cumsum(SHARE * local + (1 - SHARE) * traj[:, 2:4], axis=0)
     place[1:, 1] = traj[:, 4]
     down = np.clip(field["foot_contact"], 0, 1)
     return m, place, np.concatenate([down[:1], down])

@@ -222,9 +222,10 @@ def interval_first_match(spark, sf_dir):
     n = F.coalesce(F.floor(F.size(F.when(F.col("features").isNotNull(), F.col("features"))) / 499).cast("int"), F.col("num_records"))
     n = F.when(F.col("features").isNull(), F.col("num_records")).otherwise(n)
     rows = table(spark, sf_dir, "umr_release").select("row_id", "rec_id", F.floor(n / 4).cast("int").alias("k"), F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0).alias("fps")).where("k > 0")
-    hit = matching.first_event(F.col("events"), F.col("g") * 4 / F.col("fps"))
-    tokens = rows.join(last, "rec_id", "left").select("row_id", "fps", "events", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("g")).withColumn("i", hit)
-    return tokens.groupBy("row_id").agg(F.count("*").alias("tokens"), F.count("i").alias("matched"), F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("sum_event"))
+    hits = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda g: matching.first_event(F.col("events"), g * 4 / F.col("fps")))
+    tokens = rows.join(last, "rec_id", "left").select("row_id", hits.alias("i"))  # the clip stays one row
+    total = F.aggregate("i", F.lit(0).cast("long"), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    return tokens.select("row_id", F.size("i").cast("long").alias("tokens"), F.size(F.array_compact("i")).cast("long").alias("matched"), total.alias("sum_event"))
 
 
 @query(f"""with {READINGS}, e as (select source, i - 1 as dim, x from (select source, unnest(root_traj) as x, generate_subscripts(root_traj, 1) as i from readings) where x is not null)

@@ -109,14 +109,20 @@ def resolved_entry(entry: Column, root: str, name: str) -> Column:
 def read_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_no, line_no, entry) of text manifests in the order given; blanks and # lines dropped.
 
-    A manifest is read as one value per file, so its lines keep their numbers.
+    A manifest is read in as many parts as Spark cuts it into; where a part starts in the file
+    and the order inside it give its lines their numbers.
     """
+    from ..plans.windows import running_offsets
+
     out = None
     for k, path in enumerate(paths):
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "entry"))
-        one = lines.select(F.lit(k).alias("file_no"), "line_no", F.trim("entry").alias("entry"))
-        out = one if out is None else out.unionByName(one)
-    return out.where((F.col("entry") != "") & ~F.col("entry").startswith("#"))
+        lines = spark.read.text(path).select(F.lit(k).alias("file_no"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
+        out = lines if out is None else out.unionByName(lines)
+    order = ["file_no", "_file", "_start", "_at"]
+    numbered = running_offsets(out.withColumn("_one", F.lit(1)), order, "_one", row="_row")
+    first = numbered.groupBy("file_no").agg(F.min("_row").alias("_first"))  # a row per manifest
+    rows = numbered.join(first, "file_no").select("file_no", (F.col("_row") - F.col("_first")).cast("int").alias("line_no"), F.trim("value").alias("entry"))
+    return rows.where((F.col("entry") != "") & ~F.col("entry").startswith("#"))
 
 
 def file_name(path: Column) -> Column:
